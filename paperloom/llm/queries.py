@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixing, quality, sharding
+from paperloom.llm import decontaminate, mixing, ngram_join, quality, secrets, sharding, url_filter
 from paperloom.llm.common import table
 
 #: Three racks of four shards in each of two regions.
@@ -17,6 +17,34 @@ MIX = mixing.Plan(share=0.8, max_epochs=2, seed=17, weights={("lang", "en"): 6.0
 DOMAIN = F.concat(F.lit("d"), F.pmod(F.coalesce(F.try_to_number(F.regexp_extract("source", "([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0)), F.lit(4)).cast("string"))
 
 
+URL_RULES = [
+    url_filter.Rule("block", "net", "/"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+def op1_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class")
+
+
+def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return got.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+
+
+def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.find(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.learn(docs, table(spark, sf_dir, "labels"), LEARNING)
@@ -36,6 +64,10 @@ def op10_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op1_url_trie": op1_url_trie,
+    "op6_signature_tree_join": op6_signature_tree_join,
+    "op7_positional_index": op7_positional_index,
+    "op9_randomness_battery": op9_randomness_battery,
     "op8_source_mixing": op8_source_mixing,
     "op10_weighted_hash_tree": op10_weighted_hash_tree,
 }
