@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, mixing, ngram_join, quality, secrets, sharding, url_filter
+from paperloom.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, sharding, url_filter
 from paperloom.llm.common import table
 
 #: Three racks of four shards in each of two regions.
@@ -30,6 +30,10 @@ def op1_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counts(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op6_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class")
 
@@ -65,6 +69,7 @@ def op10_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op1_url_trie": op1_url_trie,
+    "op4_disclosure_sanitiser": op4_disclosure_sanitiser,
     "op6_signature_tree_join": op6_signature_tree_join,
     "op7_positional_index": op7_positional_index,
     "op9_randomness_battery": op9_randomness_battery,
