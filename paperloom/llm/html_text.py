@@ -50,6 +50,10 @@ EXAMPLES = (
     (0, 0, 0, 90, 0.0, 10, 0.0, 70, 0.0, 1), (0, 0, 0, 40, 0.1, 80, 0.0, 60, 0.0, 1), (0, 0, 0, 25, 0.0, 30, 0.0, 22, 0.0, 1), (0, 0, 0, 9, 0.0, 50, 0.0, 70, 0.0, 1),
     (0, 0, 0, 6, 0.0, 3, 1.0, 85, 0.0, 1), (0, 0, 0, 16, 0.0, 64, 0.0, 2, 1.0, 1), (0, 0, 0, 3, 1.0, 2, 1.0, 4, 1.0, 0), (0, 0, 0, 12, 0.9, 90, 0.0, 8, 1.0, 0),
     (0, 0, 0, 5, 0.0, 2, 1.0, 3, 1.0, 0), (0, 0, 0, 4, 0.6, 70, 0.0, 3, 0.8, 0), (0, 0, 0, 30, 0.8, 5, 1.0, 6, 1.0, 0), (0, 0, 0, 2, 1.0, 60, 0.0, 60, 0.0, 0),
+    (1, 0, 1, 12, 0.0, 30, 0.0, 4, 0.0, 0), (1, 1, 1, 22, 0.0, 14, 0.0, 60, 0.0, 0), (1, 0, 0, 8, 0.0, 0, 0.0, 9, 0.0, 0), (1, 0, 0, 3, 0.0, 90, 0.0, 0, 0.0, 0),
+    (1, 0, 1, 90, 0.0, 0, 0.0, 40, 0.0, 0), (1, 1, 1, 5, 0.0, 3, 0.0, 3, 0.0, 0), (1, 0, 0, 35, 0.0, 20, 0.0, 15, 0.0, 0), (1, 0, 1, 2, 0.0, 2, 0.0, 300, 0.0, 0),
+    (0, 1, 1, 2, 0.0, 3, 0.0, 4, 0.0, 1), (0, 1, 1, 4, 0.8, 3, 0.0, 4, 0.5, 1), (0, 1, 1, 14, 0.3, 4, 1.0, 90, 0.0, 1), (0, 1, 1, 30, 0.6, 0, 0.0, 2, 1.0, 1),
+    (0, 0, 1, 35, 0.0, 35, 0.0, 35, 0.0, 0), (0, 0, 1, 2, 0.0, 90, 0.0, 90, 0.0, 0), (0, 0, 1, 90, 0.0, 3, 0.0, 3, 0.0, 0), (0, 0, 1, 12, 0.0, 0, 0.0, 0, 0.0, 0),
     (0, 0, 0, 30, 0.05, 50, 0.0, 0, 0.0, 1), (0, 0, 0, 1, 1.0, 1, 1.0, 90, 0.0, 0), (0, 0, 0, 8, 0.0, 60, 0.0, 0, 0.0, 1), (0, 0, 0, 1, 0.0, 30, 0.0, 0, 0.0, 1),
     (0, 0, 0, 3, 0.0, 0, 0.0, 5, 0.0, 1), (0, 0, 0, 10, 0.95, 0, 0.0, 12, 1.0, 0), (0, 0, 0, 70, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 0, 6, 1.0, 40, 0.1, 0, 0.0, 0),
 )

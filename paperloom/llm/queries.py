@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, html_text, mixing, ngram_join, pii, quality, secrets, sharding, url_filter
+from paperloom.llm import decontaminate, html_text, language_model, mixing, ngram_join, pii, quality, secrets, sharding, url_filter
 from paperloom.llm.common import table
 
 #: Three racks of four shards in each of two regions.
@@ -30,6 +30,10 @@ def op1_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op3_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -73,6 +77,7 @@ def op10_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op1_url_trie": op1_url_trie,
+    "op2_context_mixing": op2_context_mixing,
     "op3_block_tree": op3_block_tree,
     "op4_disclosure_sanitiser": op4_disclosure_sanitiser,
     "op6_signature_tree_join": op6_signature_tree_join,
