@@ -3,8 +3,8 @@
 Test items become windows of ten words (an item of fewer words is one window). The corpus frequency of every test term
 is counted over all documents; each window is anchored at its two rarest terms. One scan of the corpus stores the
 postings of anchor terms, with position and the words around, and one posting of the empty term for each document, whose
-position is the number of its words. The windows' anchor lists, shifted by the anchors' offsets, are intersected on
-(document, start), and a start is an exact match if the words around the anchor are the window's.
+position is the number of its words. The windows' anchor lists, shifted by the anchors' offsets and rid of places where the
+words around are not the window's, are intersected on (document, start).
 
 ``proximity`` finds documents in which an item's rarest terms occur close together in any order.
 
@@ -88,10 +88,10 @@ class Index:
 
     def matches(self) -> DataFrame:
         """One row for each occurrence of a window: doc_id, _t, start, len, items."""
-        met = self.lists().groupBy(*KEY, "window", "start").agg(
-            F.count_distinct("rank").alias("n"), F.first("n_anchors").alias("of"), F.bool_or("exact").alias("exact")
+        met = self.lists().where("exact").groupBy(*KEY, "window", "start").agg(
+            F.count_distinct("rank").alias("n"), F.first("n_anchors").alias("of")
         )
-        return met.where("n = of AND exact").join(self._hint(self.windows), "window").select(*KEY, "start", "len", "items")
+        return met.where("n = of").join(self._hint(self.windows), "window").select(*KEY, "start", "len", "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
