@@ -4,8 +4,9 @@ A text's set is its distinct five-word shingles, as 64-bit hashes; texts with eq
 
 1. One scan finds every row's class and the shingles that many texts share.
 2. A second scan posts each class under its rarest shingles: shared ones last, as many as leave no way to reach the
-   similarity without them. Two classes that link have a posting in common. Runs of a posting list whose sizes fit
-   connect, and the components of these connections, families, hold all links inside.
+   similarity without them. Two classes that link have postings in common, and so many that with all that was not posted
+   they could reach the overlap asked for; pairs from short posting lists are counted and held against that. In long
+   lists, runs whose sizes fit connect as a whole. The components of these connections, families, hold all links inside.
 3. A third scan reads the sets of classes in families, which a fixed-size bitmap lets through, and a signature tree in each
    family, joined with itself by dual traversal, finds the links.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,9 +38,11 @@ from paperloom.llm.signature_tree import Tree
 
 N = 5
 #: A shingle in so many texts of one batch of ``BATCH`` shingles is counted, and the most frequent of those count as shared.
-LOCAL_SHARED = 4
-BATCH = 1_000_000
+LOCAL_SHARED = 3
+BATCH = 4_000_000
 MAX_SHARED = 200_000
+#: Members of a posting list up to which its pairs are counted.
+SHORT = 64
 #: Bits of the map that lets the sets of families through.
 MAP_BITS = 1 << 26
 #: Shingles in a block that is joined for itself.
@@ -181,31 +185,94 @@ def postings(docs: DataFrame, shared: np.ndarray, similar: Similarity) -> DataFr
     return docs.mapInArrow(run, "h long, n int, c long")
 
 
+class _Lists:
+    """Connections from posting lists that come sorted by h, n, c, in pieces."""
+
+    def __init__(self, similar: Similarity):
+        self.s = similar
+        self.kept = tuple(np.empty(0, dtype=np.int64) for _ in range(3))
+        self.long: tuple | None = None  # h, n of the last member and first member of its run, of a long list that may go on
+
+    def _fits(self, less: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return self.s.denominator * less >= self.s.numerator * more
+
+    def read(self, h: np.ndarray, n: np.ndarray, c: np.ndarray, last: bool = False):
+        """Pairs (u, v, common postings) of the lists that have ended; a long list connects with more than any pair needs."""
+        h, n, c = (np.concatenate([a, b]) for a, b in zip(self.kept, (h, n, c), strict=True))
+        fresh = np.ones(len(h), dtype=bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        h, n, c = h[fresh], n[fresh], c[fresh]
+        if not len(h):
+            return
+        begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.append(begins, len(h)))
+        long = sizes > SHORT
+        if self.long and h[0] == self.long[0]:
+            long[0] = True
+        end = len(h)
+        if not last and not long[-1]:  # the last list may go on
+            end = begins[-1]
+        self.kept = h[end:], n[end:], c[end:]
+        of_long = np.repeat(long, sizes)[:end]
+        yield from self._long(h[:end][of_long], n[:end][of_long], c[:end][of_long])
+        h, n, c = (x[:end][~of_long] for x in (h, n, c))
+        for gap in range(1, SHORT):
+            same = h[:-gap] == h[gap:] if gap < len(h) else np.empty(0, dtype=bool)
+            if not same.any():
+                break
+            ok = np.flatnonzero(same)
+            ok = ok[self._fits(n[ok], n[ok + gap])]
+            yield c[ok], c[ok + gap], n[ok], n[ok + gap], np.ones(len(ok), dtype=np.int64)
+
+    def _long(self, h, n, c):
+        if not len(h):
+            return
+        goes_on = self.long is not None and h[0] == self.long[0]
+        before = np.concatenate([[self.long[1] if goes_on else 0], n[:-1]])
+        begins = ~self._fits(before, n)
+        begins[1:] |= h[1:] != h[:-1]
+        begins[0] |= not goes_on
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(h)), -1))
+        center = np.where(at >= 0, c[at], self.long[2] if self.long else 0)
+        self.long = h[-1], n[-1], center[-1]
+        yield center, c, n, n, np.full(len(c), 1 << 40)
+
+
 def connections(posted: DataFrame, similar: Similarity) -> DataFrame:
-    """u, v: in each posting list, by size, each class and the first class of its run; a run ends where sizes no longer fit."""
+    """u, v: pairs of classes with enough postings in common to link, and connections that hold long lists together.
+
+    What two sets didn't both post lies behind the last posting of one of them, so it adds no more to their overlap than
+    that one has left. The common postings must make up the rest of the overlap that the similarity asks for.
+    """
 
     def run(parts):
-        h0 = n0 = first = None
-        for part in parts:
-            h, n, c = (part.column(i).to_numpy() for i in range(3))
-            if not len(h):
-                continue
-            before_h, before_n = np.empty_like(h), np.empty_like(n)
-            before_h[1:], before_n[1:] = h[:-1], n[:-1]
-            carried = h0 is not None
-            before_h[0], before_n[0] = (h0, n0) if carried else (~h[0], 0)
-            begins = (h != before_h) | (similar.denominator * before_n.astype(np.int64) < similar.numerator * n.astype(np.int64))
-            at = np.maximum.accumulate(np.where(begins, np.arange(len(h)), -1))
-            center = np.where(at >= 0, c[at], first if carried else 0)
-            h0, n0, first = h[-1], n[-1], center[-1]
-            ok = center != c
-            u, v = np.maximum(center[ok], c[ok]), np.minimum(center[ok], c[ok])
-            if len(u):
-                pairs = np.unique(np.stack([u, v], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        lists = _Lists(similar)
+
+        def sent(found):
+            found = [np.concatenate(x) for x in zip(*found, strict=True)]
+            u, v, a, b, k = found
+            swap = u < v
+            rows = pd.DataFrame({"u": np.where(swap, v, u), "v": np.where(swap, u, v), "a": np.where(swap, b, a), "b": np.where(swap, a, b), "k": k})
+            rows = rows[rows["u"] != rows["v"]].groupby(["u", "v"], sort=False, as_index=False).agg({"a": "first", "b": "first", "k": "sum"})
+            return pa.RecordBatch.from_pandas(rows.astype("int64"), preserve_index=False)
+
+        found, size = [], 0
+        none = np.empty(0, dtype=np.int64)
+        for h, n, c in chain(((p.column(0).to_numpy(), p.column(1).to_numpy().astype(np.int64), p.column(2).to_numpy()) for p in parts), [(none, none, none)]):
+            for x in lists.read(h, n, c, last=not len(h)):
+                found.append(x)
+                size += len(x[0])
+            if size > 500_000:
+                yield sent(found)
+                found, size = [], 0
+        if found:
+            yield sent(found)
 
     dealt = posted.repartition(_parts(posted), "h").sortWithinPartitions("h", "n", "c")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    pairs = dealt.mapInArrow(run, "u long, v long, a long, b long, k long").groupBy("u", "v").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("k").alias("k"))
+    p, q = similar.numerator, similar.denominator
+    asked = f"floor(({p} * (a + b) + {p + q - 1}) / {p + q}) - floor((greatest(a, b) * {p} + {q - 1}) / {q}) + 1"
+    return pairs.where(f"k >= greatest(1, {asked})").select("u", "v")
 
 
 def _parts(df: DataFrame) -> int:

@@ -51,8 +51,9 @@ def texts(seed, families=12, size=9):
     return list(enumerate([*out, "", "  \n", "One TWO", "one two", "one\ttwo  ", "é É", out[0].upper()]))
 
 
-@pytest.mark.parametrize("seed,block", [(1, 16_384), (2, 700), (3, 300)])
-def test_equals_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,block,short", [(1, 16_384, 64), (2, 300, 3)])
+def test_equals_brute_force(spark, monkeypatch, seed, block, short):
+    monkeypatch.setattr(ngram_join, "SHORT", short)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "LOCAL_SHARED", 10)
     rows = texts(seed)
@@ -73,6 +74,42 @@ def test_empty_table(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("short,piece", [(64, 7), (4, 7), (4, 1000), (3, 1)])
+def test_lists_connect_what_they_hold(monkeypatch, short, piece):
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    rnd = np.random.default_rng(5)
+    rows = sorted({(int(h), int(10 + c % 7), int(c)) for h, c in zip(rnd.integers(0, 12, 150) ** 2, rnd.integers(0, 60, 150))})
+    h, n, c = (np.array(x, dtype=np.int64) for x in zip(*rows))
+    lists, got = ngram_join._Lists(ngram_join.Similarity()), {}
+    for at in [*range(0, len(h), piece), None]:
+        part = (h[:0], n[:0], c[:0]) if at is None else (h[at : at + piece], n[at : at + piece], c[at : at + piece])
+        for u, v, _, _, k in lists.read(*part, last=at is None):
+            for x, y, z in zip(u.tolist(), v.tolist(), k.tolist()):
+                if x != y:
+                    got[min(x, y), max(x, y)] = got.get((min(x, y), max(x, y)), 0) + z
+    want = {}
+    for i, (a, x, y) in enumerate(rows):
+        for b, p, q in rows[:i]:
+            if a == b and 4 * min(x, p) >= 3 * max(x, p):
+                want[min(y, q), max(y, q)] = want.get((min(y, q), max(y, q)), 0) + 1
+    exact = {k: z for k, z in got.items() if z < 1 << 40}
+    assert all(want[k] >= z for k, z in exact.items())
+    if short == 64:
+        assert exact == want
+    root = {x: x for x in range(60)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (x, y), z in got.items():
+        if z >= 1 << 40:
+            root[find(x)] = find(y)
+    # What isn't counted in full is connected by long lists.
+    assert all(exact.get(k, 0) == z or find(k[0]) == find(k[1]) for k, z in want.items())
+
+
 def test_tree_finds_all_links():
     rnd = np.random.default_rng(4)
     sets = []
