@@ -1,37 +1,67 @@
-"""The corpus pipeline: quality rules, near-duplicate join, decontamination, mixing and sharding, each over all that the stage before kept."""
+"""The corpus pipeline: quality rules, near-duplicate join, decontamination, mixing and sharding.
+
+Each stage works on all that the stage before kept, written as Parquet and read again. Documents are known by their doc_id.
+"""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixing, quality, sharding
+from paperloom.llm import decontaminate, mixing, ngram_join, quality, sharding
 from paperloom.llm.common import table, written
 from paperloom.llm.queries import DOMAIN, LEARNING, MIX, SHARDS
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: No document twice: one epoch of every source at most.
+ONCE = replace(MIX, max_epochs=1)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or a learned rule go."""
+    rules = quality.learn(docs, table(spark, sf_dir, "labels"), LEARNING)
+    return quality.apply(docs, rules).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links connect, the document of the least doc_id stays; of repeated rows one."""
+    found = written(ngram_join.join(docs).select("doc_id", "component_id"), "groups")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.count() > found.select("doc_id").distinct().count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
 
-def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = quality.learn(docs, table(spark, sf_dir, "labels"), LEARNING)
-    return quality.apply(docs, found).where("kept").select(*COLUMNS)
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, MIX, DOMAIN).select(*COLUMNS)
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source gives what its share of the token budget holds."""
+    return mixing.mix(docs, ONCE, DOMAIN).select(*docs.columns)
 
 
-def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    got = sharding.shard(docs, SHARDS, seed=11)
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document goes."""
+    got = sharding.shard(docs.select("doc_id", "text"), SHARDS, seed=11)
     return got.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-STAGES = [("quality rules", rules), ("source mixing", mixed), ("sharding", sharded)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source mixing", source_mixing),
+    ("sharding", shards),
+]
+#: Near-duplicate components and learned rules have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
