@@ -86,3 +86,6 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op10_weighted_hash_tree": op10_weighted_hash_tree,
 }
+
+#: DuckDB SQL by query name.
+ORACLES: dict[str, str] = {}
