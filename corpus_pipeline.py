@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import decontaminate, mixing, ngram_join, quality, sharding
 from paperloom.llm.common import table, written
-from paperloom.llm.queries import DOMAIN, LEARNING, MIX, SHARDS
+from paperloom.llm.queries import LEARNING, MIX, SHARDS, domain
 
 #: No document twice: one epoch of every source at most.
 ONCE = replace(MIX, max_epochs=1)
@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source gives what its share of the token budget holds."""
-    return mixing.mix(docs, ONCE, DOMAIN).select(*docs.columns)
+    return mixing.mix(docs, ONCE, domain()).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

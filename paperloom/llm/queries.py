@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import decontaminate, html_text, language_model, mixing, ngram_join, pii, quality, secrets, sharding, url_filter
@@ -13,8 +13,12 @@ SHARDS = sharding.Topology.uniform(2, 3, 4)
 LEARNING = quality.Learning()
 #: Language weights; domains and sources weigh the same. Four fifths of all tokens, up to two epochs of a source.
 MIX = mixing.Plan(share=0.8, max_epochs=2, seed=17, weights={("lang", "en"): 6.0, ("lang", "de"): 1.5, ("lang", "fr"): 1.5, ("lang", "es"): 1.0})
-#: The tables have no domain; sources are dealt to four by their number.
-DOMAIN = F.concat(F.lit("d"), F.pmod(F.coalesce(F.try_to_number(F.regexp_extract("source", "([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0)), F.lit(4)).cast("string"))
+
+
+def domain() -> Column:
+    """The tables have no domain; sources are dealt to four by their number, those without one to the first."""
+    number = F.coalesce(F.nullif(F.regexp_extract("source", "([0-9]{1,9})$", 1), F.lit("")).cast("int"), F.lit(0))
+    return F.concat(F.lit("d"), F.pmod(number, F.lit(4)).cast("string"))
 
 
 URL_RULES = [
@@ -65,7 +69,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, MIX, DOMAIN).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    return mixing.mix(docs, MIX, domain()).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
 def op10_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
