@@ -227,10 +227,10 @@ def label_found(spark, d):
     return m.withColumn("y", T.stripped_label(F.col("l"))).select("event_id", "y", F.contains("t", F.col("y")).alias("found"))
 
 
-@query("id_rewrite", "SELECT event_id, replace(concat('litvar@#rs', event_id, '#', user_id), '#', '%23') url, split_part(concat('litvar@rs', event_id, '##', user_id), '@', 2) id FROM events")
+@query("id_rewrite", "SELECT event_id, replace(concat('var@#rs', event_id, '#', user_id), '#', '%23') url, split_part(concat('var@rs', event_id, '##', user_id), '@', 2) id FROM events")
 def id_rewrite(spark, d):
     e = table(spark, d, "events")
-    return e.select("event_id", F.replace(F.expr("concat('litvar@#rs', event_id, '#', user_id)"), F.lit("#"), F.lit("%23")).alias("url"), F.split_part(F.expr("concat('litvar@rs', event_id, '##', user_id)"), F.lit("@"), F.lit(2)).alias("id"))
+    return e.select("event_id", F.replace(F.expr("concat('var@#rs', event_id, '#', user_id)"), F.lit("#"), F.lit("%23")).alias("url"), F.split_part(F.expr("concat('var@rs', event_id, '##', user_id)"), F.lit("@"), F.lit(2)).alias("id"))
 
 
 @query("reward", "SELECT event_id, CASE WHEN list_contains(['click', 'view'], event_type) = (value > 10) THEN 1 ELSE -1 END y FROM events")

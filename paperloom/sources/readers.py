@@ -9,7 +9,7 @@ DOCUMENT = (
     "ARRAY<STRUCT<id: STRING, infons: MAP<STRING, STRING>, passages: ARRAY<STRUCT<offset: INT, infons: MAP<STRING, STRING>, text: STRING, "
     "annotations: ARRAY<STRUCT<id: STRING, text: STRING, infons: MAP<STRING, STRING>, locations: ARRAY<STRUCT<offset: INT, length: INT>>>>>>>>"
 )
-#: Names under which an export may hold its documents.
+# Names under which an export may hold its documents.
 ENVELOPES = ("PubTator3", "documents")
 
 
