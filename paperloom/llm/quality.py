@@ -12,7 +12,7 @@ every row is kept; repeated rows get equal results; further columns stay, those
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,8 +189,12 @@ class DecisionList:
             best = max(range(len(gains)), key=lambda i: (gains[i], -i))
             if gains[best] <= 0:
                 break
-            got.append(literals[best])
-            bad, n = counts[best]
+            chosen = literals[best]
+            # Midway between the threshold and the nearest bad row that it covers: as many bad rows, and good ones no more.
+            nearest = F.min if chosen.above else F.max
+            edge = rows.where(f"bad AND {base} AND {chosen.sql()}").agg(nearest(chosen.feature)).first()[0]
+            got.append(replace(chosen, threshold=(chosen.threshold + edge) / 2))
+            (bad, n), = cls._counts(rows, [" AND ".join(c.sql() for c in got)])
         return got
 
     @classmethod
