@@ -128,3 +128,12 @@ def test_query_without_sql_runs(spark, name):
 def test_pair_metrics_of_known_sweep(spark):
     got = [tuple(r) for r in QUERIES["evidence_sweep"](spark, "/root/testdata/sf0.01").select("threshold", "tp", "fp", "fn").orderBy("threshold").collect()]
     assert got == [(None, 2069, 1996, 678), (6, 919, 911, 511), (7, 691, 684, 402), (8, 521, 493, 317), (9, 332, 302, 204), (10, 99, 116, 88)]
+
+
+def test_name_pairs_and_diseases_are_checked_whole(spark):
+    names = spark.read.parquet(f"{SF}/part.parquet").select("p_name").distinct().count()
+    for name in ("text_ratio", "text_similar", "text_similar_rules"):
+        assert QUERIES[name](spark, SF).select("a", "b").distinct().count() == names**2
+    parts = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_partkey kb_id").distinct()
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "l_partkey + l_linenumber % 2 * 5 kb_id").join(parts, "kb_id")
+    assert QUERIES["validate_disease"](spark, SF).select("l_orderkey", "l_linenumber", "kb_id").distinct().count() == lines.distinct().count()
