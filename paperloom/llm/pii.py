@@ -4,9 +4,9 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers; these are
 entity too. For every entity the distinct windows of text around its occurrences are gathered from the whole corpus; a term
 in them discloses ``log2(P(entity | term) / P(entity)) / -log2 P(entity)`` of the entity's information, 1.0 if the
 term occurs nowhere but beside it. ``P(entity | term)`` is the share of the term's occurrences in the corpus that
-are windows of the entity. In texts with the entity, terms over ``Thresholds.generalise`` become spans of kind
-``term``, to be replaced by a general word, and those over ``Thresholds.remove`` spans of kind ``drop``. Windows are counted once for each
-content, so copies of a text are no evidence.
+are in windows of the entity, and ``P(entity)`` the entity's occurrences for each character; both count every copy of a text. In texts with the entity, terms over ``Thresholds.generalise`` become spans of kind
+``term``, to be replaced by a general word, and those over ``Thresholds.remove`` spans of kind ``drop``. For ``Thresholds.support`` windows are
+counted once for each content, so copies of a text are no evidence.
 
 Everything is Spark expressions. The Java patterns differ from the plain ones in the docstring of ``PATTERNS`` only by
 possessive quantifiers and by starting at the run's first character, which spares quadratic time on long runs.
@@ -113,10 +113,13 @@ def revealing(docs: DataFrame, found: DataFrame, t: Thresholds) -> DataFrame:
     # The outer end of a window may cut a word; without its outer piece it holds whole words only.
     left = F.when(F.col("s.start") > t.window, F.regexp_replace(left, r"^[^\x20\x09-\x0D]+", "")).otherwise(left)
     right = F.regexp_replace(right, r"[^\x20\x09-\x0D]+$", "")
-    windows = at.select(F.concat_ws(":", F.col("s.k").cast("string"), F.lower("s.value")).alias("entity"), ascii_lower(F.concat(left, F.lit(" "), right)).alias("window")).distinct()
-    pairs = windows.select("entity", F.explode(F.array_distinct(F.split("window", r"[\x20\x09-\x0D]+"))).alias("term")).where("term <> ''")
-    pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= t.support), "pii-pairs")
-    own = windows.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= t.support)
+    windows = at.select(F.concat_ws(":", F.col("s.k").cast("string"), F.lower("s.value")).alias("entity"), ascii_lower(F.concat(left, F.lit(" "), right)).alias("window"))
+    windows = windows.groupBy("entity", "window").agg(F.count("*").alias("copies"))
+    each = windows.withColumn("_w", F.split("window", r"[\x20\x09-\x0D]+")).select("entity", "copies", "_w", F.explode(F.array_distinct("_w")).alias("term")).where("term <> ''")
+    times = F.size(F.filter("_w", lambda w: w == F.col("term"))) * F.col("copies")
+    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_windows"), F.sum(times).alias("n_both"))
+    pairs = written(pairs.where(F.col("n_windows") >= t.support), "pii-pairs")
+    own = windows.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     terms = pairs.select("term").distinct()
     n = terms.count()
     if not n:

@@ -67,5 +67,18 @@ def test_terms_that_reveal(spark):
     assert "Zanzibarian" not in clean[0] and "[EMAIL]" in clean[0] and "@" not in clean[0]
 
 
+def test_copies_do_not_hide_a_term(spark):
+    rnd = random.Random(4)
+    line = lambda: " ".join(f"w{rnd.randrange(300)}" for _ in range(25))
+    texts = [f"{line()} Zanzibarian w{i} boss@corp.example.com {line()}" for i in range(4)]
+    rows = [(10 * i + k, t) for i, t in enumerate(texts) for k in range(8)] + [(100 + i, line()) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["term"]: r["disclosure"] for r in pii.revealing(docs, pii.base(docs), pii.Thresholds()).collect()}
+    assert abs(got["zanzibarian"] - 1.0) < 1e-9
+    # Copies of two windows are no evidence.
+    few = docs.where("doc_id < 20 OR doc_id >= 100")
+    assert pii.revealing(few, pii.base(few), pii.Thresholds()).count() == 0
+
+
 def test_empty_table(spark):
     assert pii.counts(pii.find(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
