@@ -1,6 +1,6 @@
 """The corpus pipeline: quality rules, near-duplicate join, decontamination, mixing and sharding.
 
-Each stage works on all that the stage before kept, written as Parquet and read again. Documents are known by their doc_id.
+Each stage works on all that the stage before kept, written as Parquet and read again. Where doc_ids can be null or repeated, rows are numbered.
 """
 
 from __future__ import annotations
@@ -25,12 +25,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect, the document of the least doc_id stays; of repeated rows one."""
-    found = written(ngram_join.join(docs).select("doc_id", "component_id"), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.count() > found.select("doc_id").distinct().count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Of each group that links connect, the row of the least doc_id stays, one without doc_id if there are no others; of
+    repeated rows one. Rows are known by a number, as doc_ids can be null or repeated."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = ngram_join.join(rows, key="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    short = F.col("n_shingles") == 0  # no links; equal rows are repeated ones
+    group = [F.when(~short, F.col("component_id")).alias("_group"), F.when(short, F.col("doc_id")).alias("_id"), F.when(short, F.sha2("text", 256)).alias("_text")]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")
+    kept = written(found.join(rows.select("_row", "doc_id", "text"), "_row").groupBy(*group).agg(least).select("least._row"), "groups")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
