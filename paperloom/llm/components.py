@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import written
-
-MAX_ROUNDS = 60
+from paperloom.llm.common import scratch, written
 
 
 def _minima(pairs: DataFrame) -> DataFrame:
@@ -19,19 +17,24 @@ def components(edges: DataFrame) -> DataFrame:
     its component) for every node but the roots themselves. Joins write their minima first, so that both sides are plain
     exchanges and a node with very many edges can be split."""
     a, b = edges.columns
-    e = written(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
-    )
-    state = None
-    for _ in range(MAX_ROUNDS):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(_minima(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large-star")
-        least = _minima(large)
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        now = tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
-        if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    with scratch(edges.sparkSession):
+        e = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges", lasting=True)
+        state = None
+        while True:  # every round but the last brings some edge's end nearer to the least node
+            with scratch(edges.sparkSession):
+                e = _round(e)
+            now = tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+            if now == state:
+                break
+            state = now
+        e = written(e, "components", lasting=True)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _round(e: DataFrame) -> DataFrame:
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = both.where("v > u").join(_minima(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    large = written(large, "large-star")
+    least = _minima(large)
+    small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return written(small.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), "small-star", lasting=True)

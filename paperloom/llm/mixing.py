@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import written
+from paperloom.llm.common import scratch, written
 
 LEVELS = ("domain", "lang", "source")
 
@@ -48,8 +48,13 @@ class Plan:
         return out
 
 
-#: Most leaves; the tree table is broadcast.
-MAX_LEAVES = 100_000
+#: The tree table is broadcast up to so many leaves and joined by shuffling beyond them.
+BROADCAST_LEAVES = 100_000
+
+
+def small(leaves: DataFrame):
+    """A hint for tables of as many rows as the tree has leaves, or fewer."""
+    return F.broadcast if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else lambda df: df
 
 
 def token_count(text: Column) -> Column:
@@ -77,7 +82,7 @@ def split_level(children: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
     return c.select(*keys, F.greatest(F.lit(0.0), grant).alias("budget"))
 
 
-def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
+def budgets(leaves: DataFrame, plan: Plan, few=F.broadcast) -> DataFrame:
     """One row for each leaf of weight over 0 with its budget in whole tokens. ``leaves``: the levels' columns and ``tokens``."""
     got = None
     for i in range(1, len(LEVELS) + 1):
@@ -86,7 +91,7 @@ def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
         if got is None:
             level = level.selectExpr("*", f"{plan.share!r}D * sum(tokens) OVER (PARTITION BY 1) AS _budget")
         else:
-            level = level.join(F.broadcast(got.withColumnRenamed("budget", "_budget")), keys[:-1])
+            level = level.join(few(got.withColumnRenamed("budget", "_budget")), keys[:-1])
         got = split_level(level, keys, plan)
     return got.withColumn("budget", F.floor("budget"))
 
@@ -96,25 +101,23 @@ def cuts(slim: DataFrame, plan: Plan) -> DataFrame:
     (all rows where it is null), and rows of that bucket up to the order ``_last``. ``slim``: _key, the levels, n_tokens."""
     keys, part = list(LEVELS), f"PARTITION BY {', '.join(LEVELS)}"
     leaves = written(slim.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
-    n = leaves.count()
-    if n > MAX_LEAVES:
-        raise ValueError(f"{n} leaves; the tree may have {MAX_LEAVES}")
-    tree = budgets(leaves, plan).join(F.broadcast(leaves), keys).where("tokens > 0")
+    few = small(leaves)
+    tree = budgets(leaves, plan, few).join(few(leaves), keys).where("tokens > 0")
     tree = tree.withColumn("_whole", F.floor(F.col("budget") / F.col("tokens")).cast("int"))
     tree = written(tree.withColumn("_rest", F.col("budget") - F.col("_whole") * F.col("tokens")), "mix-tree")
-    docs = ordered(slim.join(F.broadcast(tree.where("_rest > 0")), keys), plan, "_key")
+    docs = ordered(slim.join(few(tree.where("_rest > 0")), keys), plan, "_key")
     sums = docs.groupBy(*keys, "_bucket", "_rest").agg(F.sum("n_tokens").alias("_t"))
     before = sums.selectExpr("*", f"sum(_t) OVER ({part} ORDER BY _bucket) - _t AS _before")
     edge = before.where("_before + _t > _rest").groupBy(*keys).agg(
         F.min("_bucket").alias("_edge"), F.min_by("_before", "_bucket").alias("_before")
     )
     edge = written(edge, "mix-edge")
-    last = docs.join(F.broadcast(edge.withColumnRenamed("_edge", "_bucket")), [*keys, "_bucket"]).selectExpr(
+    last = docs.join(few(edge.withColumnRenamed("_edge", "_bucket")), [*keys, "_bucket"]).selectExpr(
         *keys, "_order", "_rest", f"_before + sum(n_tokens) OVER ({part} ORDER BY _order) AS _upto"
     )
     last = last.where("_upto <= _rest").groupBy(*keys).agg(F.max("_order").alias("_last"))
-    out = tree.join(F.broadcast(edge.drop("_before")), keys, "left").join(F.broadcast(last), keys, "left")
-    return written(out.select(*keys, "budget", "_whole", "_rest", "_edge", "_last"), "mix-cuts")
+    out = tree.join(few(edge.drop("_before")), keys, "left").join(few(last), keys, "left")
+    return written(out.select(*keys, "budget", "_whole", "_rest", "_edge", "_last"), "mix-cuts", lasting=True)
 
 
 def ordered(df: DataFrame, plan: Plan, key: str) -> DataFrame:
@@ -134,9 +137,10 @@ def mix(df: DataFrame, plan: Plan, domain: Column, key: str = "doc_id", text: st
     rows = df.drop("domain", "n_tokens", "epoch").select(
         "*", domain.cast("string").alias("domain"), token_count(F.col(text)).alias("n_tokens"), *named
     ).withColumn("_domain", F.coalesce("domain", F.lit("?")))
-    slim = written(rows.select(F.col(key).alias("_key"), *[F.col(f"_{c}").alias(c) for c in LEVELS], "n_tokens"), "mix-slim")
-    tree = cuts(slim, plan).select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "_whole", "_rest", "_edge", "_last")
-    got = ordered(rows.join(F.broadcast(tree), [f"_{c}" for c in LEVELS]), plan, key)
+    with scratch(df.sparkSession):
+        slim = written(rows.select(F.col(key).alias("_key"), *[F.col(f"_{c}").alias(c) for c in LEVELS], "n_tokens"), "mix-slim")
+        tree = cuts(slim, plan).select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "_whole", "_rest", "_edge", "_last")
+    got = ordered(rows.join(small(tree)(tree), [f"_{c}" for c in LEVELS]), plan, key)
     partial = (F.col("_rest") > 0) & (
         F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge")) | ((F.col("_bucket") == F.col("_edge")) & (F.col("_order") <= F.col("_last")))
     )

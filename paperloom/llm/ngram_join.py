@@ -29,10 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import written
+from paperloom.llm.common import scratch, swept, written
 from paperloom.llm.components import components
 from paperloom.llm.signature_tree import Tree
 
@@ -122,7 +122,8 @@ def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, lis
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: a doc_id, b class, n size of the set. Rows of kind 1: a shingle, n texts of one batch that have it."""
+    """Rows of kind 0: a doc_id, b class, n size of the set, mark as in ``docs``. Rows of kind 1: a shingle, n texts of one batch that have it."""
+    names_of = ["kind", "a", "b", "n", "mark"]
 
     def run(parts):
         seen: set[int] = set()
@@ -135,14 +136,14 @@ def profile(docs: DataFrame) -> DataFrame:
             held.clear()
             seen.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([1] * k, pa.int8()), pa.array(values[ok].astype(np.int64), pa.int64()), pa.nulls(k, pa.int64()), pa.array(counts[ok], pa.int64())], names=["kind", "a", "b", "n"]
+                [pa.array([1] * k, pa.int8()), pa.array(values[ok].astype(np.int64), pa.int64()), pa.nulls(k, pa.int64()), pa.array(counts[ok], pa.int64()), pa.nulls(k, pa.int64())], names=names_of
             )
 
         size = 0
         for piece, sets in _scan(parts):
             names = [class_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(sets), pa.int8()), piece.column(0), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["kind", "a", "b", "n"]
+                [pa.array([0] * len(sets), pa.int8()), piece.column(0), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), piece.column(2)], names=names_of
             )
             for c, s in zip(names, sets, strict=True):
                 if len(s) and c not in seen:
@@ -155,7 +156,7 @@ def profile(docs: DataFrame) -> DataFrame:
         if held:
             yield shared()
 
-    return docs.mapInArrow(run, "kind byte, a long, b long, n long")
+    return docs.mapInArrow(run, "kind byte, a long, b long, n long, mark long")
 
 
 def postings(docs: DataFrame, shared: np.ndarray, similar: Similarity) -> DataFrame:
@@ -324,6 +325,7 @@ def _joined(cells: DataFrame, sets: DataFrame, similar: Similarity) -> DataFrame
 
 def links(families: DataFrame, sets: DataFrame, similar: Similarity) -> DataFrame:
     """node, root of the classes that links connect. ``families``: c, n, family."""
+    spark = families.sparkSession
     weight = families.groupBy("family").agg(F.sum("n").alias("w"))
     blocks = F.ceil(F.col("w") / BLOCK).cast("int")
     dealt = written(families.join(weight, "family").withColumn("b", blocks).withColumn("i", F.pmod(F.xxhash64("c"), F.col("b")).cast("int")).drop("w"), "dealt")
@@ -334,6 +336,7 @@ def links(families: DataFrame, sets: DataFrame, similar: Similarity) -> DataFram
     if large.isEmpty():
         return components(found)
     for step in ("representatives", "rest"):
+        swept(spark)
         roots = components(found)
         now = large.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("known", F.coalesce("root", "c")).drop("root")
         now = written(now, "now")
@@ -348,35 +351,49 @@ def links(families: DataFrame, sets: DataFrame, similar: Similarity) -> DataFram
             part = cells.groupBy("family").agg(F.sum("n").alias("w")).withColumn("p", F.ceil(F.col("w") / BLOCK).cast("int"))
             cells = cells.join(part, "family").select(F.col("family").alias("x"), F.pmod(F.xxhash64("c", F.lit(1)), F.col("p")).cast("int").alias("y"), none.alias("z"), "c", "known")
         else:
-            rest = written(now.where("known <> top"), "rest")
-            part = rest.groupBy("family").agg(F.sum("n").alias("w")).join(now.groupBy("family").agg(F.sum("n").alias("all")), "family")
-            part = part.withColumn("block", F.least(F.lit(float(MAX_BLOCK)), F.greatest(F.lit(float(BLOCK)), F.col("all") * CROSS_SHARE)))
-            part = written(part.select("family", F.ceil(F.col("w") / F.col("block")).cast("int").alias("r"), F.ceil(F.col("all") / F.col("block")).cast("int").alias("s")), "cross-blocks")
-            deal = lambda to, seed: F.pmod(F.xxhash64("c", F.lit(seed)), F.col(to)).cast("int")
-            ours = rest.join(part, "family").select("family", "s", "c", "known", deal("r", 2).alias("y")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-            theirs = now.join(part, "family").select("family", "c", "known", deal("s", 3).alias("z"), F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("y"))
-            cells = ours.select(F.col("family").alias("x"), "y", "z", "c", "known").unionByName(theirs.select(F.col("family").alias("x"), "y", "z", "c", "known"))
+            cells = crossed(now)
         found = found.unionByName(written(_joined(cells, sets, similar), step))
     return components(found)
 
 
-def join(docs: DataFrame, similar: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, class (of equal sets), component_id (the least doc_id that links reach)."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seen = written(profile(docs), "profile")
-    rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), "n")
-    shared = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "a").limit(MAX_SHARED)
-    common = np.sort(shared.select("a").toPandas()["a"].to_numpy(dtype=np.int64).astype(np.uint64))
-    edges = written(connections(postings(docs, common, similar), similar), "connections")
-    first = written(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
-    families = components(edges)
-    families = families.select(F.col("node").alias("c"), F.col("root").alias("family")).unionByName(families.select(F.col("root").alias("c"), F.col("root").alias("family")).distinct())
-    families = written(families.join(first.select("c", "n"), "c"), "families")
-    sets = written(sets_of(docs, families).dropDuplicates(["c"]), "sets")
-    roots = links(families, sets, similar)
-    linked = first.join(roots, first["c"] == roots["node"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
-    linked = written(linked, "linked")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = written(linked.join(least, "root").select("c", "component_id"), "found")
+def crossed(now: DataFrame) -> DataFrame:
+    """Cells x, y, z that bring every class outside its family's largest component (``known`` is not ``top``) together with all
+    classes of the family."""
+    rest = written(now.where("known <> top"), "rest")
+    part = rest.groupBy("family").agg(F.sum("n").alias("w")).join(now.groupBy("family").agg(F.sum("n").alias("all")), "family")
+    part = part.withColumn("block", F.least(F.lit(float(MAX_BLOCK)), F.greatest(F.lit(float(BLOCK)), F.col("all") * CROSS_SHARE)))
+    part = written(part.select("family", F.ceil(F.col("w") / F.col("block")).cast("int").alias("r"), F.ceil(F.col("all") / F.col("block")).cast("int").alias("s")), "cross-blocks")
+    deal = lambda to, seed: F.pmod(F.xxhash64("c", F.lit(seed)), F.col(to)).cast("int")
+    ours = rest.join(part, "family").select("family", "s", "c", "known", deal("r", 2).alias("y")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    theirs = now.join(part, "family").select("family", "c", "known", deal("s", 3).alias("z"), F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("y"))
+    return ours.select(F.col("family").alias("x"), "y", "z", "c", "known").unionByName(theirs.select(F.col("family").alias("x"), "y", "z", "c", "known"))
+
+
+def join(docs: DataFrame, similar: Similarity = Similarity(), key: str = "doc_id", text: str = "text", mark: Column | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, class (of equal sets), component_id (the least doc_id that links reach),
+    root (a class of the component, which names it where doc_ids are null or repeated; null for empty sets) and mark (a long that
+    goes along with the row, null without one)."""
+    spark = docs.sparkSession
+    mark = F.lit(None) if mark is None else mark
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), mark.cast("long").alias("mark"))
+    with scratch(spark):
+        seen = written(profile(docs), "profile", lasting=True)
+        rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), "n", "mark")
+        shared = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "a").limit(MAX_SHARED)
+        common = np.sort(shared.select("a").toPandas()["a"].to_numpy(dtype=np.int64).astype(np.uint64))
+        edges = written(connections(postings(docs, common, similar), similar), "connections")
+        swept(spark)
+        first = written(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
+        families = components(edges)
+        families = families.select(F.col("node").alias("c"), F.col("root").alias("family")).unionByName(families.select(F.col("root").alias("c"), F.col("root").alias("family")).distinct())
+        families = written(families.join(first.select("c", "n"), "c"), "families")
+        sets = written(sets_of(docs, families).dropDuplicates(["c"]), "sets")
+        swept(spark)
+        roots = links(families, sets, similar)
+        linked = first.join(roots, first["c"] == roots["node"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
+        linked = written(linked, "linked")
+        least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+        found = written(linked.join(least, "root").select("c", "component_id", "root"), "found", lasting=True)
+    swept(spark)
     got = rows.join(found, "c", "left")
-    return got.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return got.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", "mark")

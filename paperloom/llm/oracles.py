@@ -17,9 +17,14 @@ CONTAMINATION = f"""WITH d AS (SELECT doc_id, {_WORDS} w FROM documents), b AS (
   i AS (SELECT item, w, unnest(range(greatest(len(w) - 9, 1))) s FROM b WHERE len(w) > 0), k AS (SELECT DISTINCT item, array_to_string(w[s + 1 : s + 10], ' ') g, len(w[s + 1 : s + 10]) n FROM i),
   g AS (SELECT doc_id, s, n, array_to_string(w[s + 1 : s + n], ' ') g FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) s FROM d, (SELECT DISTINCT n FROM k) z WHERE len(w) >= n)),
   m AS (SELECT doc_id, s, k.n, item FROM g JOIN k ON g.g = k.g), h AS (SELECT doc_id, count(DISTINCT s + o) n_hit FROM (SELECT doc_id, s, unnest(range(n)) o FROM m) GROUP BY doc_id),
+  q AS (SELECT g, unnest(string_split(g, ' ')) term, unnest(range(len(string_split(g, ' ')))) off FROM (SELECT DISTINCT g FROM k)), r AS (SELECT g, term, min(off) off FROM q GROUP BY ALL),
+  o AS (SELECT doc_id, unnest(w) term, unnest(range(len(w))) pos FROM d), c AS (SELECT term, count(*) c FROM o GROUP BY term),
+  a AS (SELECT *, count(*) OVER (PARTITION BY g) most FROM (SELECT g, r.term, off, row_number() OVER (PARTITION BY g ORDER BY coalesce(c, 0), off) nth FROM r LEFT JOIN c ON c.term = r.term) WHERE nth <= 3),
+  p AS (SELECT doc_id, g, most, bit_or(CAST(1 << (nth - 1) AS INTEGER)) OVER (PARTITION BY doc_id, g ORDER BY pos - off RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) met FROM o JOIN a ON a.term = o.term),
+  e AS (SELECT doc_id, count(DISTINCT g) n_near FROM p WHERE met = (1 << most) - 1 GROUP BY doc_id),
   t AS (SELECT doc_id, count(DISTINCT item) n_items, string_agg(DISTINCT item, ',' ORDER BY item) items FROM m GROUP BY doc_id)
-  SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-  FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(n_near, 0) n_near
+  FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id"""
 
 
 def _level(name: str, keys: list[str], weight: str, before: str, share: float, epochs: int) -> str:

@@ -53,7 +53,7 @@ def op6_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return got.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+    return got.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated", "n_near")
 
 
 def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:

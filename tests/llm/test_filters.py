@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -131,4 +132,31 @@ def test_decontamination_equals_plain_search(spark, monkeypatch, most):
         assert clean == sorted(k for k, *_, bad in want if not bad)
         assert decontaminate.decontaminate(d.limit(0), b).count() == 0
         assert {r["n_hit"] for r in decontaminate.decontaminate(d, b.limit(0)).collect()} == {0}
-        assert decontaminate.proximity(d, b, 2).count() > 0
+        near = sorted({(str(r["doc_id"]), r["window"], r["start"]) for r in decontaminate.proximity(d, b, 2).collect()})
+        assert near == plain_near(docs, items, 2)
+
+
+def plain_near(docs, items, slop, size=10):
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w]
+    count = Counter(w for _, t in docs for w in split(t))
+    wins = {tuple(w[i : i + size]) for _, t in items if (w := split(t)) for i in range(max(1, len(w) - size + 1))}
+    out = set()
+    for win in wins:
+        anchors = sorted(set(win), key=lambda x: (count[x], win.index(x)))[:3]
+        for k, t in docs:
+            w = split(t)
+            starts = [{i - win.index(a) for i, x in enumerate(w) if x == a} for a in anchors]
+            out |= {(str(k), " ".join(win), s) for s in set().union(*starts) if all(any(s - slop <= x <= s for x in of) for of in starts)}
+    return sorted(out)
+
+
+def test_only_the_intersection_finds_the_anchors(spark):
+    """Each document differs from the item in one word; where that is an anchor, nothing but the missing posting tells."""
+    words = [f"w{i}" for i in range(10)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(i, " ".join(["a", *words[:i], "other", *words[i + 1 :], "b"])) for i in range(10)] + [(10, " ".join(words)), (11, " ".join([*words, "tail"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert [got[i][0] for i in range(12)] == [0] * 10 + [10, 10]
+    # Words of equal counts are anchors in their order, so the first three are; with one of them lost there is no proximity match.
+    assert [got[i][1] for i in range(12)] == [0] * 3 + [1] * 9
