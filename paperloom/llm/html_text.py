@@ -1,9 +1,11 @@
 """HTML extraction by shallow text features.
 
 A page becomes a flat list of text blocks. Each block has its words, its link density, the same of the blocks before and
-after, and what encloses it: a part that is no main text (menus, page headers, footers, sidebars, forms, notices, adverts,
-comments, by tag or by class and id) or an article. A decision tree, grown on the small labelled table ``EXAMPLES``, tells
-main text from the rest; the main blocks in page order are the text.
+after, and what encloses it: a part that is no main text (menus, page headers, footers, sidebars, notices, adverts,
+comments, by tag or by class and id), a form, or an article. A decision tree, grown on the small labelled table ``EXAMPLES``,
+tells main text from the rest; the main blocks in page order are the text. Tags don't decide alone, except for named parts: runs
+of links inside an article or main part are menus and teasers, a form can wrap a whole page and then its long plain blocks are
+text, and pages without an article are told by words and link density of a block and its neighbours only.
 
 Cases: null html is empty; cut-off pages end with their last whole tag; an unknown or unclosed tag closes with what
 encloses it; character references are decoded block by block, those cut off stay as they are; repeated rows get equal
@@ -23,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg textarea object canvas title math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
-ASIDE = frozenset("nav header footer aside form menu dialog head button select".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img math mi mn mo ms mtext mrow mfrac msup msub msqrt".split())
+ASIDE = frozenset("nav header footer aside menu dialog head button select".split())
 MAIN = frozenset(("article", "main"))
 #: Parts of a class or id that name what isn't main text.
 ASIDE_NAMES = frozenset(
@@ -38,24 +40,35 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
-#: The table the tree is grown on: in such a part, in an article, page has an article, words, link density, words before, link
-#: density before, words after, link density after, is main text.
-FEATURES = ("aside", "in_article", "has_article", "words", "links", "words_before", "links_before", "words_after", "links_after")
+#: The table the tree is grown on: in such a part, in a form, in an article or main part, page has one of these, words, link density,
+#: words before, link density before, words after, link density after, is main text.
+FEATURES = ("aside", "in_form", "in_article", "has_article", "words", "links", "words_before", "links_before", "words_after", "links_after")
 EXAMPLES = (
-    (1, 0, 1, 6, 1.0, 0, 0.0, 5, 1.0, 0), (1, 0, 1, 30, 0.0, 5, 1.0, 12, 0.0, 0), (1, 0, 0, 25, 0.0, 40, 0.0, 3, 0.0, 0), (1, 1, 1, 3, 1.0, 60, 0.0, 4, 1.0, 0),
-    (1, 1, 1, 45, 0.0, 80, 0.0, 20, 0.1, 0), (1, 0, 0, 2, 1.0, 1, 1.0, 2, 1.0, 0), (1, 0, 1, 14, 0.2, 90, 0.0, 0, 0.0, 0), (1, 0, 0, 60, 0.1, 70, 0.0, 80, 0.0, 0),
-    (0, 1, 1, 120, 0.0, 9, 0.0, 80, 0.0, 1), (0, 1, 1, 1, 0.0, 40, 0.0, 60, 0.0, 1), (0, 1, 1, 8, 0.0, 0, 0.0, 90, 0.0, 1), (0, 1, 1, 2, 1.0, 30, 0.0, 3, 0.5, 1),
-    (0, 1, 1, 45, 0.1, 70, 0.0, 12, 0.0, 1), (0, 1, 1, 5, 0.0, 5, 0.0, 5, 0.0, 1), (0, 1, 1, 400, 0.0, 3, 1.0, 0, 0.0, 1), (0, 1, 1, 3, 0.0, 2, 1.0, 0, 0.0, 1),
-    (0, 0, 1, 20, 0.0, 4, 1.0, 10, 0.0, 0), (0, 0, 1, 4, 1.0, 0, 0.0, 5, 1.0, 0), (0, 0, 1, 60, 0.0, 100, 0.0, 9, 0.3, 0), (0, 0, 1, 7, 0.0, 60, 0.0, 0, 0.0, 0),
-    (0, 0, 0, 90, 0.0, 10, 0.0, 70, 0.0, 1), (0, 0, 0, 40, 0.1, 80, 0.0, 60, 0.0, 1), (0, 0, 0, 25, 0.0, 30, 0.0, 22, 0.0, 1), (0, 0, 0, 9, 0.0, 50, 0.0, 70, 0.0, 1),
-    (0, 0, 0, 6, 0.0, 3, 1.0, 85, 0.0, 1), (0, 0, 0, 16, 0.0, 64, 0.0, 2, 1.0, 1), (0, 0, 0, 3, 1.0, 2, 1.0, 4, 1.0, 0), (0, 0, 0, 12, 0.9, 90, 0.0, 8, 1.0, 0),
-    (0, 0, 0, 5, 0.0, 2, 1.0, 3, 1.0, 0), (0, 0, 0, 4, 0.6, 70, 0.0, 3, 0.8, 0), (0, 0, 0, 30, 0.8, 5, 1.0, 6, 1.0, 0), (0, 0, 0, 2, 1.0, 60, 0.0, 60, 0.0, 0),
-    (1, 0, 1, 12, 0.0, 30, 0.0, 4, 0.0, 0), (1, 1, 1, 22, 0.0, 14, 0.0, 60, 0.0, 0), (1, 0, 0, 8, 0.0, 0, 0.0, 9, 0.0, 0), (1, 0, 0, 3, 0.0, 90, 0.0, 0, 0.0, 0),
-    (1, 0, 1, 90, 0.0, 0, 0.0, 40, 0.0, 0), (1, 1, 1, 5, 0.0, 3, 0.0, 3, 0.0, 0), (1, 0, 0, 35, 0.0, 20, 0.0, 15, 0.0, 0), (1, 0, 1, 2, 0.0, 2, 0.0, 300, 0.0, 0),
-    (0, 1, 1, 2, 0.0, 3, 0.0, 4, 0.0, 1), (0, 1, 1, 4, 0.8, 3, 0.0, 4, 0.5, 1), (0, 1, 1, 14, 0.3, 4, 1.0, 90, 0.0, 1), (0, 1, 1, 30, 0.6, 0, 0.0, 2, 1.0, 1),
-    (0, 0, 1, 35, 0.0, 35, 0.0, 35, 0.0, 0), (0, 0, 1, 2, 0.0, 90, 0.0, 90, 0.0, 0), (0, 0, 1, 90, 0.0, 3, 0.0, 3, 0.0, 0), (0, 0, 1, 12, 0.0, 0, 0.0, 0, 0.0, 0),
-    (0, 0, 0, 30, 0.05, 50, 0.0, 0, 0.0, 1), (0, 0, 0, 1, 1.0, 1, 1.0, 90, 0.0, 0), (0, 0, 0, 8, 0.0, 60, 0.0, 0, 0.0, 1), (0, 0, 0, 1, 0.0, 30, 0.0, 0, 0.0, 1),
-    (0, 0, 0, 3, 0.0, 0, 0.0, 5, 0.0, 1), (0, 0, 0, 10, 0.95, 0, 0.0, 12, 1.0, 0), (0, 0, 0, 70, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 0, 6, 1.0, 40, 0.1, 0, 0.0, 0),
+    (1, 0, 0, 1, 6, 1.0, 0, 0.0, 5, 1.0, 0), (1, 0, 0, 1, 30, 0.0, 5, 1.0, 12, 0.0, 0), (1, 0, 0, 0, 25, 0.0, 40, 0.0, 3, 0.0, 0), (1, 0, 1, 1, 3, 1.0, 60, 0.0, 4, 1.0, 0),
+    (1, 0, 1, 1, 45, 0.0, 80, 0.0, 20, 0.1, 0), (1, 0, 0, 0, 2, 1.0, 1, 1.0, 2, 1.0, 0), (1, 0, 0, 1, 14, 0.2, 90, 0.0, 0, 0.0, 0), (1, 0, 0, 0, 60, 0.1, 70, 0.0, 80, 0.0, 0),
+    (0, 0, 1, 1, 120, 0.0, 9, 0.0, 80, 0.0, 1), (0, 0, 1, 1, 1, 0.0, 40, 0.0, 60, 0.0, 1), (0, 0, 1, 1, 8, 0.0, 0, 0.0, 90, 0.0, 1), (0, 0, 1, 1, 2, 1.0, 30, 0.0, 3, 0.5, 1),
+    (0, 0, 1, 1, 45, 0.1, 70, 0.0, 12, 0.0, 1), (0, 0, 1, 1, 5, 0.0, 5, 0.0, 5, 0.0, 1), (0, 0, 1, 1, 400, 0.0, 3, 1.0, 0, 0.0, 1), (0, 0, 1, 1, 3, 0.0, 2, 1.0, 0, 0.0, 1),
+    (0, 0, 0, 1, 20, 0.0, 4, 1.0, 10, 0.0, 0), (0, 0, 0, 1, 4, 1.0, 0, 0.0, 5, 1.0, 0), (0, 0, 0, 1, 60, 0.0, 100, 0.0, 9, 0.3, 0), (0, 0, 0, 1, 7, 0.0, 60, 0.0, 0, 0.0, 0),
+    (0, 0, 0, 0, 90, 0.0, 10, 0.0, 70, 0.0, 1), (0, 0, 0, 0, 40, 0.1, 80, 0.0, 60, 0.0, 1), (0, 0, 0, 0, 25, 0.0, 30, 0.0, 22, 0.0, 1), (0, 0, 0, 0, 9, 0.0, 50, 0.0, 70, 0.0, 1),
+    (0, 0, 0, 0, 6, 0.0, 3, 1.0, 85, 0.0, 1), (0, 0, 0, 0, 16, 0.0, 64, 0.0, 2, 1.0, 1), (0, 0, 0, 0, 3, 1.0, 2, 1.0, 4, 1.0, 0), (0, 0, 0, 0, 12, 0.9, 90, 0.0, 8, 1.0, 0),
+    (0, 0, 0, 0, 5, 0.0, 2, 1.0, 3, 1.0, 0), (0, 0, 0, 0, 4, 0.6, 70, 0.0, 3, 0.8, 0), (0, 0, 0, 0, 30, 0.8, 5, 1.0, 6, 1.0, 0), (0, 0, 0, 0, 2, 1.0, 60, 0.0, 60, 0.0, 0),
+    (1, 0, 0, 1, 12, 0.0, 30, 0.0, 4, 0.0, 0), (1, 0, 1, 1, 22, 0.0, 14, 0.0, 60, 0.0, 0), (1, 0, 0, 0, 8, 0.0, 0, 0.0, 9, 0.0, 0), (1, 0, 0, 0, 3, 0.0, 90, 0.0, 0, 0.0, 0),
+    (1, 0, 0, 1, 90, 0.0, 0, 0.0, 40, 0.0, 0), (1, 0, 1, 1, 5, 0.0, 3, 0.0, 3, 0.0, 0), (1, 0, 0, 0, 35, 0.0, 20, 0.0, 15, 0.0, 0), (1, 0, 0, 1, 2, 0.0, 2, 0.0, 300, 0.0, 0),
+    (0, 0, 1, 1, 2, 0.0, 3, 0.0, 4, 0.0, 1), (0, 0, 1, 1, 4, 0.8, 3, 0.0, 4, 0.5, 1), (0, 0, 1, 1, 14, 0.3, 4, 1.0, 90, 0.0, 1), (0, 0, 1, 1, 30, 0.6, 0, 0.0, 2, 1.0, 1),
+    (0, 0, 0, 1, 35, 0.0, 35, 0.0, 35, 0.0, 0), (0, 0, 0, 1, 2, 0.0, 90, 0.0, 90, 0.0, 0), (0, 0, 0, 1, 90, 0.0, 3, 0.0, 3, 0.0, 0), (0, 0, 0, 1, 12, 0.0, 0, 0.0, 0, 0.0, 0),
+    (0, 0, 0, 0, 30, 0.05, 50, 0.0, 0, 0.0, 1), (0, 0, 0, 0, 1, 1.0, 1, 1.0, 90, 0.0, 0), (0, 0, 0, 0, 8, 0.0, 60, 0.0, 0, 0.0, 1), (0, 0, 0, 0, 1, 0.0, 30, 0.0, 0, 0.0, 1),
+    (0, 0, 0, 0, 3, 0.0, 0, 0.0, 5, 0.0, 1), (0, 0, 0, 0, 10, 0.95, 0, 0.0, 12, 1.0, 0), (0, 0, 0, 0, 70, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 0, 0, 6, 1.0, 40, 0.1, 0, 0.0, 0),
+    (0, 0, 1, 1, 3, 1.0, 2, 1.0, 4, 1.0, 0), (0, 0, 1, 1, 6, 1.0, 5, 1.0, 7, 1.0, 0), (0, 0, 1, 1, 9, 1.0, 8, 0.95, 8, 1.0, 0), (0, 0, 1, 1, 2, 1.0, 1, 1.0, 2, 1.0, 0),
+    (0, 0, 1, 1, 5, 1.0, 30, 0.0, 6, 1.0, 1), (0, 0, 1, 1, 4, 1.0, 5, 1.0, 40, 0.0, 1), (0, 0, 1, 1, 6, 1.0, 50, 0.0, 60, 0.0, 1), (0, 0, 1, 1, 8, 0.5, 6, 1.0, 7, 1.0, 1),
+    (0, 0, 1, 1, 20, 0.2, 6, 1.0, 5, 1.0, 1), (0, 0, 1, 1, 4, 0.0, 3, 1.0, 4, 1.0, 1), (0, 0, 1, 1, 3, 1.0, 20, 0.3, 4, 0.6, 1), (0, 0, 1, 1, 2, 0.0, 2, 0.0, 0, 0.0, 1),
+    (0, 1, 0, 0, 70, 0.0, 60, 0.0, 80, 0.0, 1), (0, 1, 0, 0, 45, 0.05, 50, 0.0, 60, 0.0, 1), (0, 1, 1, 1, 90, 0.0, 50, 0.0, 70, 0.1, 1), (0, 1, 0, 0, 120, 0.1, 4, 1.0, 60, 0.0, 1),
+    (0, 1, 0, 0, 3, 0.0, 2, 0.0, 4, 0.0, 0), (0, 1, 1, 1, 2, 0.0, 60, 0.0, 1, 0.0, 0), (0, 1, 1, 1, 12, 0.0, 40, 0.0, 70, 0.0, 0), (0, 1, 0, 1, 9, 0.1, 0, 0.0, 3, 0.0, 0),
+    (0, 1, 1, 1, 25, 0.0, 1, 0.0, 2, 0.0, 0), (0, 1, 0, 0, 20, 0.9, 3, 1.0, 4, 1.0, 0), (0, 1, 0, 1, 18, 0.0, 2, 0.0, 1, 0.0, 0), (0, 1, 1, 1, 5, 1.0, 30, 0.0, 2, 0.0, 0),
+    (0, 1, 0, 0, 60, 0.9, 5, 1.0, 3, 1.0, 0), (0, 1, 1, 1, 30, 0.0, 3, 0.0, 60, 0.0, 0), (0, 1, 0, 0, 1, 0.0, 60, 0.0, 60, 0.0, 0), (0, 1, 0, 0, 15, 0.0, 80, 0.0, 50, 0.0, 0),
+    (0, 0, 0, 0, 60, 0.0, 90, 0.0, 140, 0.0, 1), (0, 0, 0, 0, 4, 0.0, 3, 1.0, 120, 0.0, 1), (0, 0, 0, 0, 5, 0.0, 80, 0.0, 95, 0.0, 1), (0, 0, 0, 0, 6, 0.0, 40, 0.0, 30, 0.0, 1),
+    (0, 0, 0, 0, 110, 0.0, 100, 0.1, 130, 0.1, 1), (0, 0, 0, 0, 12, 0.2, 100, 0.0, 100, 0.0, 1), (0, 0, 0, 0, 2, 0.0, 90, 0.0, 3, 1.0, 0), (0, 0, 0, 0, 1, 0.0, 12, 0.0, 2, 1.0, 0),
+    (0, 0, 0, 0, 3, 0.0, 2, 1.0, 3, 1.0, 0), (0, 0, 0, 0, 2, 0.0, 1, 1.0, 1, 1.0, 0), (0, 0, 0, 0, 4, 0.0, 60, 0.0, 5, 1.0, 0), (0, 0, 0, 0, 1, 0.0, 3, 1.0, 2, 1.0, 0),
+    (0, 0, 0, 0, 40, 0.1, 4, 0.0, 2, 0.0, 1), (0, 0, 0, 0, 7, 0.0, 12, 0.1, 100, 0.0, 1), (0, 0, 0, 0, 2, 0.0, 110, 0.0, 45, 0.0, 1), (0, 0, 0, 0, 22, 0.3, 25, 0.0, 4, 1.0, 1),
 )
 
 
@@ -74,7 +87,7 @@ class Node:
         return node.main
 
 
-def grow(rows: list[tuple], depth: int = 5) -> Node:
+def grow(rows: list[tuple], depth: int = 8) -> Node:
     """A tree by Gini impurity; ties go to the earlier feature and the lower threshold."""
 
     def impurity(part: list[tuple]) -> float:
@@ -105,6 +118,7 @@ def tree() -> Node:
 @dataclass
 class Block:
     aside: bool
+    in_form: bool
     in_article: bool
     pieces: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
@@ -112,7 +126,7 @@ class Block:
     def close(self) -> None:
         self.text = " ".join("".join(self.pieces).split())
         self.words = len(self.text.split())
-        self.links = len("".join(self.linked).split()) / self.words if self.words else 0.0
+        self.links = min(1.0, sum(len(x.split()) for x in self.linked) / self.words) if self.words else 0.0
 
 
 def _names_aside(attributes: str, in_article: bool) -> bool:
@@ -123,19 +137,44 @@ def _names_aside(attributes: str, in_article: bool) -> bool:
     return False
 
 
+@dataclass(frozen=True)
+class Open:
+    """An open element: what holds inside it, and the place of the paragraph that it or only inline elements of it continue, or -1."""
+
+    tag: str
+    aside: bool = False
+    in_form: bool = False
+    in_article: bool = False
+    paragraph: int = -1
+
+
 def blocks(html: str) -> tuple[list[Block], bool]:
     """The page's blocks that have words, and whether it has an article."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, aside, in an article; the enclosing element's hold inside
-    aside = in_article = has_article = False
-    links, now, at, skip_to = 0, Block(False, False), 0, None
+    stack: list[Open] = []
+    places: dict[str, list[int]] = {}  # by tag: where in the stack it is open; so that closing tags need no search
+    page = Open("")
+    holds = (False, False, False)
+    has_article = False
+    links, now, at, skip_to = 0, Block(*holds), 0, None
 
     def end_block() -> Block:
         if now.pieces:
             now.close()
             if now.words:
                 out.append(now)
-        return Block(aside, in_article)
+        return Block(*holds)
+
+    def close_from(k: int) -> bool:
+        """Closes all elements from this place on; whether all were inline."""
+        nonlocal links
+        inline = True
+        while len(stack) > k:
+            tag = stack.pop().tag
+            places[tag].pop()
+            links -= tag == "a"
+            inline = inline and tag in INLINE
+        return inline
 
     for m in TOKEN.finditer(html):
         if skip_to is not None:
@@ -165,30 +204,24 @@ def blocks(html: str) -> tuple[list[Block], bool]:
                 now = end_block()
             continue
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is None:
+            if not places.get(name):
                 continue
-            links -= sum(x[0] == "a" for x in stack[k:])
-            inline = all(x[0] in INLINE for x in stack[k:])
-            del stack[k:]
+            inline = close_from(places[name][-1])
         else:
             inline = name in INLINE
-            if not inline:  # a block ends the paragraph and the inline elements it is in
-                k = len(stack)
-                while k and stack[k - 1][0] in INLINE:
-                    k -= 1
-                if k and stack[k - 1][0] == "p":
-                    links -= sum(x[0] == "a" for x in stack[k - 1 :])
-                    del stack[k - 1 :]
-            up = stack[-1] if stack else ("", False, False)
+            if not inline and stack and stack[-1].paragraph >= 0:  # a block ends the paragraph and the inline elements it is in
+                close_from(stack[-1].paragraph)
+            up = stack[-1] if stack else page
             main = name in MAIN
             has_article |= main
-            off = up[1] or (name in ASIDE and not (name == "header" and up[2])) or (bool(attributes) and _names_aside(attributes, up[2]) and name not in ("html", "body"))
-            stack.append((name, off, up[2] or main))
+            off = up.aside or (name in ASIDE and not (name == "header" and up.in_article)) or (bool(attributes) and _names_aside(attributes, up.in_article) and name not in ("html", "body"))
+            paragraph = len(stack) if name == "p" else up.paragraph if inline else -1
+            places.setdefault(name, []).append(len(stack))
+            stack.append(Open(name, off, up.in_form or name == "form", up.in_article or main, paragraph))
             links += name == "a"
-        was = (aside, in_article)
-        _, aside, in_article = stack[-1] if stack else ("", False, False)
-        if not inline or was != (aside, in_article):
+        was, top = holds, stack[-1] if stack else page
+        holds = (top.aside, top.in_form, top.in_article)
+        if not inline or was != holds:
             now = end_block()
     if skip_to is None and at < len(html):
         now.pieces.append(unescape(html[at:]))
@@ -202,7 +235,7 @@ def extract(html: str | None) -> str:
     judge, none, kept = tree().judge, (0, 0.0), []
     sizes = [none, *((b.words, b.links) for b in found), none]
     for i, b in enumerate(found):
-        if judge((b.aside, b.in_article, has_article, *sizes[i + 1], *sizes[i], *sizes[i + 2])):
+        if judge((b.aside, b.in_form, b.in_article, has_article, *sizes[i + 1], *sizes[i], *sizes[i + 2])):
             kept.append(b.text)
     return "\n".join(kept)
 

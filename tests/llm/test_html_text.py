@@ -1,3 +1,6 @@
+import random
+import time
+
 from paperloom.llm import html_text
 
 
@@ -29,3 +32,68 @@ def test_tables(spark):
     df = spark.createDataFrame([(1, "u", "<article>é</article>", 9), (1, "u", "<article>é</article>", 9), (2, None, None, 9)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, html_text.extracted(df).select("page_id", "text", "n_chars").collect())) == [(1, "é", 1), (1, "é", 1), (2, "", 0)]
     assert html_text.extracted(df.limit(0)).count() == 0
+
+
+def plain_page(rnd):
+    """A page of nothing but divs, and its main text: menu, headings with paragraphs, link lists under a short title, footer."""
+    words = lambda n: " ".join(rnd.choice("alpha beta gamma delta rho sigma tau".split()) for _ in range(n))
+    link = lambda n: f'<a href="/x">{words(n)}</a>'
+    parts, main = [f"<div>{link(rnd.randint(1, 3))}</div>" for _ in range(rnd.randint(3, 9))], []
+    for _ in range(rnd.randint(1, 4)):
+        for n in [rnd.randint(3, 9), *(rnd.randint(15, 150) for _ in range(rnd.randint(2, 5)))]:
+            text = words(n)
+            main.append(text)
+            parts.append(f"<div>{text if n < 15 or rnd.random() < 0.7 else text.replace(' ', f' {link(0)}', 1)}</div>")
+    parts += [f"<div>{words(rnd.randint(1, 2))}</div>"] + [f"<div>{link(rnd.randint(2, 8))}</div>" for _ in range(rnd.randint(3, 8))]
+    parts += [f"<div>{link(rnd.randint(1, 3))} {link(1)}</div>" for _ in range(2)]
+    return f"<html><body>{''.join(parts)}</body></html>", main
+
+
+def test_pages_without_helpful_tags():
+    """Held-out accuracy by blocks: only words and link densities tell here."""
+    rnd, hit, missed, wrong = random.Random(12), 0, 0, 0
+    for _ in range(200):
+        html, main = plain_page(rnd)
+        got = html_text.extract(html).split("\n")
+        hit += sum(x in got for x in main)
+        missed += sum(x not in got for x in main)
+        wrong += sum(x not in main for x in got)
+    assert hit / (hit + missed) >= 0.97 and wrong / (hit + wrong) <= 0.03, (hit, missed, wrong)
+
+
+def test_the_tree_uses_words_and_density():
+    """In an article, in a form and in neither, words or link densities of the block or its neighbours are asked."""
+    tree = html_text.tree()
+    assert all(tree.judge(r[:-1]) == bool(r[-1]) for r in html_text.EXAMPLES)
+
+    def asked(node, context):
+        """Features of the nodes that a block of this context can come to."""
+        if node.feature < 0:
+            return set()
+        name = html_text.FEATURES[node.feature]
+        if name in context:
+            return asked(node.low if context[name] <= node.threshold else node.high, context)
+        return {name} | asked(node.low, context) | asked(node.high, context)
+
+    for context in ({"in_article": 1, "has_article": 1, "in_form": 0}, {"in_article": 0, "has_article": 0, "in_form": 0}, {"in_article": 0, "has_article": 0, "in_form": 1}):
+        assert asked(tree, context | {"aside": 0}) & {"words", "links"}, context
+    assert {"links_before", "links_after", "words_before", "words_after"} & asked(tree, {"aside": 0})
+    assert asked(tree, {"aside": 1}) == set()  # named parts are never text, as asked
+
+
+def test_link_runs_in_main_parts_and_forms_around_pages():
+    long = " ".join(["word"] * 60)
+    menu = "".join(f"<li><a href='#'>Item {i}</a></li>" for i in range(5))
+    assert html_text.extract(f"<main><ul>{menu}</ul><p>{long}</p><p>See <a>this</a></p></main>").startswith("Item 0\n") is False
+    assert html_text.extract(f"<body><form><div>Search</div><p>{long}</p><p>{long}</p><button>Go</button></form></body>") == f"{long}\n{long}"
+
+
+def test_text_of_drawings_and_formulas_stays():
+    assert html_text.extract("<article><p>a <math><mi>x</mi></math> b</p><object>fallback</object><svg><text>label</text></svg></article>") == "a x b\nfallback\nlabel"
+
+
+def test_many_unmatched_tags_take_linear_time():
+    began = time.perf_counter()
+    for html in ("<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<p>" + "<b>" * 20_000 + "<div></div>" * 20_000):
+        html_text.extract(html)
+    assert time.perf_counter() - began < 15
