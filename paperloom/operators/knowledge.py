@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.similarity import text_similar_rules
 
-#: Width of the bins of a region join.
-BIN = 64
+#: Widths of the bins of a region join, each so many times the one before; an interval lies in the narrowest bins of which it needs two at most.
+BIN, STEPS, FACTOR = 64, 6, 16
 
 
 def gene_matches(genes: Column, gene_id: Column, symbol: Column) -> Column:
@@ -30,29 +30,59 @@ def similar_phenotypes(rows: DataFrame, phenotypes: str, name: str) -> DataFrame
     return met.groupBy(*[c for c in rows.columns if c != phenotypes]).agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("similar"))
 
 
-def validated(rels: DataFrame, kb: DataFrame) -> DataFrame:
-    """Relationships (kb_id, gene_id, gene, ph_id, ph) with ``result`` and ``reason``; ones whose variant is unknown are invalid."""
+def validated(rels: DataFrame, kb: DataFrame, similar: bool = True) -> DataFrame:
+    """Relationships (kb_id, gene_id, gene, ph_id, ph) with ``result`` and ``reason``. Ones whose variant is unknown are invalid, ones
+    that name no variant are errors. A disease is confirmed by its id, its name in any case and, with ``similar``, by similar names:
+    each distinct pair of a known and a given name is compared once."""
     known = kb.select(F.col("kb_id").alias("_k"), "genes", "phenotypes")
     met = rels.join(known, rels["kb_id"] == known["_k"], "left")
     gene = gene_matches(F.col("genes"), F.col("gene_id"), F.col("gene"))
     ph = phenotype_matches(F.col("phenotypes"), F.col("ph_id"), F.col("ph"))
+    if similar:
+        names = met.select(F.col("ph").alias("_n"), F.explode("phenotypes").alias("_p")).select("_n", F.col("_p.name").alias("_q")).distinct()
+        hits = names.where(text_similar_rules("_n", "_q")).groupBy("_n").agg(F.collect_set("_q").alias("_like"))
+        met = met.join(hits, met["ph"] == hits["_n"], "left")
+        ph = ph | F.coalesce(F.exists("phenotypes", lambda p: F.array_contains(F.col("_like"), p["name"])), F.lit(False))
     reason = (
-        F.when(F.col("_k").isNull(), "variant not found").when(gene & ph, "gene and disease confirmed").when(gene, "gene confirmed").when(ph, "disease confirmed").otherwise("nothing confirmed")
+        F.when(F.col("kb_id").isNull(), "no variant given").when(F.col("_k").isNull(), "variant not found").when(gene & ph, "gene and disease confirmed")
+        .when(gene, "gene confirmed").when(ph, "disease confirmed").otherwise("nothing confirmed")
     )
     met = met.withColumn("reason", reason)
-    return met.withColumn("result", F.when(F.col("reason").endswith("confirmed") & ~F.col("reason").startswith("nothing"), "valid").otherwise("invalid")).drop("_k", "genes", "phenotypes")
+    result = F.when(F.col("kb_id").isNull(), "error").when(F.col("reason").endswith("confirmed") & ~F.col("reason").startswith("nothing"), "valid").otherwise("invalid")
+    return met.withColumn("result", result).select(*rels.columns, "reason", "result")
 
 
 def overlaps(regions: DataFrame, kb: DataFrame) -> DataFrame:
     """(region_id, kb_id) of known variants that overlap a region on its chromosome.
 
-    Both sides go to the bins they touch and meet by equality; a pair is reported in the first bin that both touch, so
-    none comes twice and nothing has to be made distinct.
+    Each interval goes to the bins it touches at its own level, the narrowest at which these are two at most, so that long
+    intervals take no more rows than short ones. A known interval is looked up at every level; a pair meets at the region's
+    level only, in the first bin that both touch, so none comes twice and nothing has to be made distinct.
     """
-    def binned(df: DataFrame, a: str, b: str) -> DataFrame:
-        return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor(F.col(b) / BIN))))
+    width = lambda level: F.pow(F.lit(float(FACTOR)), level) * BIN
+    levels = F.sequence(F.lit(0), F.lit(STEPS - 1))
 
-    r = binned(regions.select("region_id", F.col("chr").alias("rc"), F.col("start").alias("rs"), F.col("end").alias("re")).where("rs <= re"), "rs", "re")
-    k = binned(kb.select("kb_id", F.col("chr").alias("kc"), F.col("start").alias("ks"), F.col("stop").alias("ke")).where("ks <= ke"), "ks", "ke").withColumnRenamed("_bin", "_kbin")
-    met = r.join(k, (F.col("rc") == F.col("kc")) & (F.col("_bin") == F.col("_kbin")) & (F.col("ks") <= F.col("re")) & (F.col("ke") >= F.col("rs")))
-    return met.where(F.col("_bin") == F.floor(F.greatest("rs", "ks") / BIN)).select("region_id", "kb_id")
+    def binned(df: DataFrame, a: str, b: str) -> DataFrame:
+        return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(a) / width(F.col("_level"))), F.floor(F.col(b) / width(F.col("_level"))))))
+
+    def fits(a: Column, b: Column) -> Column:
+        """The narrowest level at which the interval is no wider than a bin; the last one for wider ones."""
+        return F.coalesce(F.get(F.filter(levels, lambda x: width(x) >= b - a), F.lit(0)), F.lit(STEPS - 1))
+
+    r = regions.select("region_id", F.col("chr").alias("rc"), F.col("start").alias("rs"), F.col("end").alias("re")).where("rs <= re")
+    k = kb.select("kb_id", F.col("chr").alias("kc"), F.col("start").alias("ks"), F.col("stop").alias("ke")).where("ks <= ke")
+    # A pair meets at the wider of its two levels: each side stands at its own level and at all wider ones.
+    r = binned(r.withColumn("_own", fits(F.col("rs"), F.col("re"))).withColumn("_level", F.explode(F.expr(f"sequence(_own, {STEPS - 1})"))), "rs", "re")
+    k = binned(k.withColumn("_kown", fits(F.col("ks"), F.col("ke"))).withColumn("_level", F.explode(F.expr(f"sequence(_kown, {STEPS - 1})"))), "ks", "ke")
+    k = k.withColumnRenamed("_bin", "_kbin").withColumnRenamed("_level", "_klevel")
+    same = (F.col("rc") == F.col("kc")) & (F.col("_level") == F.col("_klevel")) & (F.col("_bin") == F.col("_kbin")) & (F.col("ks") <= F.col("re")) & (F.col("ke") >= F.col("rs"))
+    met = r.join(k, same & (F.col("_level") == F.greatest("_own", "_kown")))
+    return met.where(F.col("_bin") == F.floor(F.greatest("rs", "ks") / width(F.col("_level")))).select("region_id", "kb_id")
+
+
+def enriched(regions: DataFrame, kb: DataFrame) -> DataFrame:
+    """Every region with ``kb_ids`` (sorted, empty if none) and ``error`` (null unless chromosome, start or end are missing or out of order)."""
+    hits = overlaps(regions.dropDuplicates(["region_id"]), kb).groupBy("region_id").agg(F.array_sort(F.collect_set("kb_id")).alias("kb_ids"))
+    error = F.when(F.col("chr").isNull() | F.col("start").isNull() | F.col("end").isNull(), "missing coordinates").when(F.col("start") > F.col("end"), "start after end")
+    none = F.array().cast(kb.select(F.array("kb_id").alias("a")).schema["a"].dataType)
+    return regions.join(hits, "region_id", "left").select(*regions.columns, F.coalesce("kb_ids", none).alias("kb_ids"), error.alias("error"))

@@ -92,15 +92,15 @@ KB_FLAT = """kbf AS (SELECT DISTINCT p_partkey kb_id, p_name "name", p_brand bra
 
 
 def notated(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, text: texts with variant notation in them, made from the document's number."""
+    """doc_id, text: the documents' whole texts between variant notation made from the document's number."""
     n = F.col("doc_id").cast("string")
     text = F.concat(
         F.lit("FOX"), F.expr("substr('ABCDE', cast(doc_id % 5 AS int) + 1, 1)"), F.lit("1 c."), n, F.lit("A>G; chr"), (F.col("doc_id") % 22 + 1).cast("string"), F.lit(":"), n, F.lit("-"),
         (F.col("doc_id") + 5).cast("string"), F.lit(" rs"), n, F.lit(", p.Arg"), n, F.lit("Cys and c."), n, F.lit("del near 15q"), (F.col("doc_id") % 30).cast("string"), F.lit(" in lung development; "),
-        F.expr("substr(text, 1, 40)"), F.lit(" c."), n, F.lit("A>G"),
+        F.coalesce("text", F.lit("")), F.lit(" c."), n, F.lit("A>G"),
     )
     return table(spark, d, "documents").select("doc_id", text.alias("text"))
 
 
 NOTE = """note AS (SELECT doc_id, concat('FOX', substr('ABCDE', CAST(doc_id % 5 AS INTEGER) + 1, 1), '1 c.', doc_id, 'A>G; chr', doc_id % 22 + 1, ':', doc_id, '-', doc_id + 5, ' rs', doc_id,
-  ', p.Arg', doc_id, 'Cys and c.', doc_id, 'del near 15q', doc_id % 30, ' in lung development; ', substr("text", 1, 40), ' c.', doc_id, 'A>G') "text" FROM documents)"""
+  ', p.Arg', doc_id, 'Cys and c.', doc_id, 'del near 15q', doc_id % 30, ' in lung development; ', "text", ' c.', doc_id, 'A>G') "text" FROM documents)"""

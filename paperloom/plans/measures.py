@@ -224,10 +224,10 @@ def pmid_first_gene(spark, d):
     return predictions(spark, d).groupBy("pmid").agg(F.min_by("gene", F.struct("gene", "variant")).alias("gene"))
 
 
-@query("pmids_for_genes", "WITH r AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) rn FROM lineitem WHERE l_partkey < 500) SELECT DISTINCT CAST(l_orderkey AS VARCHAR) pmid FROM r WHERE rn <= 10")
+@query("pmids_for_genes", "WITH r AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) rn FROM lineitem) SELECT DISTINCT CAST(l_orderkey AS VARCHAR) pmid FROM r WHERE rn <= 1000")
 def pmids_for_genes(spark, d):
     rn = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey"))
-    return table(spark, d, "lineitem").where("l_partkey < 500").withColumn("rn", rn).where("rn <= 10").select(F.col("l_orderkey").cast("string").alias("pmid")).distinct()
+    return table(spark, d, "lineitem").withColumn("rn", rn).where("rn <= 1000").select(F.col("l_orderkey").cast("string").alias("pmid")).distinct()
 
 
 @query("top20_per_key", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS INTEGER) rank FROM events QUALIFY rank <= 20")
@@ -321,6 +321,12 @@ _PH_OK = "EXISTS (SELECT 1 FROM kbf WHERE kbf.kb_id = r.kb_id AND ((r.ph_id <> '
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN NOT k THEN 'variant not found' WHEN g AND p THEN 'gene and disease confirmed' WHEN g THEN 'gene confirmed' WHEN p THEN 'disease confirmed' ELSE 'nothing confirmed' END reason,
   CASE WHEN k AND (g OR p) THEN 'valid' ELSE 'invalid' END result FROM c""")
 def validate_relationships(spark, d):
+    return K.validated(_rels(spark, d), knowledge(spark, d), similar=False).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "reason", "result")
+
+
+@query("validate_relationships_similar")
+def validate_relationships_similar(spark, d):
+    """As above, and similar disease names confirm as well."""
     return K.validated(_rels(spark, d), knowledge(spark, d)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "reason", "result")
 
 
@@ -336,13 +342,24 @@ def validate_disease(spark, d):
     return K.similar_phenotypes(r, "phenotypes", "ph")
 
 
-@query("region_enrich", f"""WITH {KB_FLAT}, g AS (SELECT DISTINCT l_orderkey * 100 + l_linenumber region_id, CAST(l_suppkey % 22 + 1 AS VARCHAR) chr, l_partkey * 10 "start", l_partkey * 10 + CAST(l_quantity AS BIGINT) "end" FROM lineitem WHERE l_linenumber = 1)
+@query("region_enrich", f"""WITH {KB_FLAT}, g AS (SELECT DISTINCT l_orderkey * 100 + l_linenumber region_id, CAST(l_suppkey % 22 + 1 AS VARCHAR) chr, l_partkey * 10 "start", l_partkey * 10 + CAST(l_quantity AS BIGINT) "end" FROM lineitem)
   SELECT DISTINCT region_id, kb_id FROM g JOIN kb ON g.chr = kb.chr AND kb."start" <= g."end" AND kb.stop >= g."start" """)
 def region_enrich(spark, d):
-    g = table(spark, d, "lineitem").where("l_linenumber = 1").selectExpr("l_orderkey * 100 + l_linenumber region_id", "CAST(l_suppkey % 22 + 1 AS STRING) chr", "l_partkey * 10 start", "l_partkey * 10 + CAST(l_quantity AS BIGINT) end").distinct()
+    g = table(spark, d, "lineitem").selectExpr("l_orderkey * 100 + l_linenumber region_id", "CAST(l_suppkey % 22 + 1 AS STRING) chr", "l_partkey * 10 start", "l_partkey * 10 + CAST(l_quantity AS BIGINT) end").distinct()
     return K.overlaps(g, knowledge(spark, d)).distinct()
 
 
+_REGIONS = """g AS (SELECT event_id region_id, CASE WHEN event_id % 9 > 0 THEN CAST(user_id % 22 + 1 AS VARCHAR) END chr, user_id * 7 "start", user_id * 7 + event_id % 5000 - 20 "end" FROM events)"""
+
+
+@query("region_enrich_left", f"""WITH {KB_FLAT}, {_REGIONS}, h AS (SELECT region_id, string_agg(DISTINCT CAST(kb_id AS VARCHAR), ';' ORDER BY CAST(kb_id AS VARCHAR)) ids FROM g JOIN kb ON g.chr = kb.chr AND kb."start" <= g."end" AND kb.stop >= g."start" WHERE g."start" <= g."end" GROUP BY 1)
+  SELECT g.region_id, coalesce(ids, '') ids, CASE WHEN chr IS NULL THEN 'missing coordinates' WHEN "start" > "end" THEN 'start after end' END error FROM g LEFT JOIN h ON h.region_id = g.region_id""")
+def region_enrich_left(spark, d):
+    g = table(spark, d, "events").selectExpr("event_id region_id", "CASE WHEN event_id % 9 > 0 THEN CAST(user_id % 22 + 1 AS STRING) END chr", "user_id * 7 start", "user_id * 7 + event_id % 5000 - 20 end")
+    got = K.enriched(g, knowledge(spark, d))
+    return got.select("region_id", F.array_join(F.array_sort(F.transform("kb_ids", lambda x: x.cast("string"))), ";").alias("ids"), "error")
+
+
 _KNN = """WITH q AS (SELECT vec_id query_id, CAST(embedding AS DOUBLE[]) a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round({f}(a, CAST(embedding AS DOUBLE[])), 6) score FROM q, embeddings)
   SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score {o}, vec_id) AS INTEGER) rank, round(score, 4) score FROM s QUALIFY rank <= 5"""
 

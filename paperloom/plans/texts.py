@@ -343,11 +343,11 @@ def pub_context(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(by("user").alias("title"), by("assistant").alias("abstract"), F.count("*").alias("n"))
 
 
-@query("fulltext_fallback", "SELECT d.doc_id, left(coalesce(nullif(CASE WHEN d.doc_id % 3 > 0 THEN d.\"text\" END, ''), nullif(b.\"text\", ''), ''), 50) y FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
+@query("fulltext_fallback", "SELECT d.doc_id, coalesce(nullif(CASE WHEN d.doc_id % 3 > 0 THEN d.\"text\" END, ''), nullif(b.\"text\", ''), '') y FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
 def fulltext_fallback(spark, d):
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("abstract"))
     full = F.when(F.col("doc_id") % 3 > 0, F.col("text"))
-    return docs.join(items, docs["doc_id"] == items["item_id"], "left").select("doc_id", F.substring(F.coalesce(F.nullif(full, F.lit("")), F.nullif("abstract", F.lit("")), F.lit("")), 1, 50).alias("y"))
+    return docs.join(items, docs["doc_id"] == items["item_id"], "left").select("doc_id", F.coalesce(F.nullif(full, F.lit("")), F.nullif("abstract", F.lit("")), F.lit("")).alias("y"))
 
 
 @query("model_from_file", "SELECT event_type, CASE WHEN contains(event_type, 'i') THEN 'mini' ELSE 'base' END model, count(*) n FROM events GROUP BY ALL")
