@@ -10,37 +10,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are broadcast together; more go block by block.
+#: Query vectors that are broadcast together, about; more go block by block.
 MAX_QUERIES = 10_000
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """query_id, vec_id, score (rounded to 6 places), rank. ``vectors``: vec_id, embedding; ``queries``: query_id, embedding.
 
-    The query block is broadcast; every batch of vectors is one matrix product and gives its own k best for each query,
-    so only k rows for each query and batch reach the final ranking. Ties go to the lower vec_id.
+    Queries go in blocks of about ``MAX_QUERIES``, each broadcast; every batch of vectors is one matrix product and gives its own
+    k best for each query of the block, so only k rows for each query and batch reach the final ranking. Ties go to the lower
+    vec_id. A vector without length has the cosine 0 with all.
     """
-    rows = queries.orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; give them in blocks")
+    n_blocks = max(1, -(-queries.count() // MAX_QUERIES))
+    got = None
+    for b in range(n_blocks):
+        block = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
+        found = _block(vectors, block.orderBy("query_id").collect(), k, metric)
+        got = found if got is None else got.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return got.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.abs(F.col("score")) if metric != "cosine" else F.col("score"))
+
+
+def _block(vectors: DataFrame, rows: list, k: int, metric: str) -> DataFrame:
     ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    matrix = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    matrix = np.array([r["embedding"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
     held = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = held.value
         for pdf in batches:
             if not len(pdf) or not len(q_ids):
                 continue
-            v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+            v, names = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["vec_id"].to_numpy()
             if metric == "cosine":
-                s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+                s = unit(q) @ unit(v).T
             else:
-                s = -np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T))
-            s, names = np.round(s, 6), pdf["vec_id"].to_numpy()
-            best = np.lexsort((np.broadcast_to(names, s.shape), -s), axis=1)[:, :k]
+                s = 2 * q @ v.T - (q**2).sum(1)[:, None] - (v**2).sum(1)[None, :]
+                # The expanded square loses digits for near vectors; what may be among the best is taken from differences.
+                near = np.argpartition(-s, min(k + 8, len(v) - 1), axis=1)[:, : k + 8]
+                exact = np.full(s.shape, -np.inf)
+                for i, at in enumerate(near):
+                    exact[i, at] = -np.linalg.norm(v[at] - q[i], axis=1)
+                s = exact
+            s = np.round(s, 6)
+            best = np.lexsort((np.broadcast_to(names, s.shape), -s), axis=1)[:, : min(k, len(v))]
             yield pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "vec_id": names[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
 
-    got = vectors.select("vec_id", "embedding").mapInPandas(score, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return got.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.abs(F.col("score")) if metric != "cosine" else F.col("score"))
+    return vectors.select("vec_id", "embedding").mapInPandas(score, "query_id long, vec_id long, score double")

@@ -9,6 +9,7 @@ from paperloom.operators import annotations as A
 from paperloom.operators import cooccurrence as C
 from paperloom.operators import evaluation as E
 from paperloom.operators import relationships as R
+from paperloom.operators.numbering import numbered
 from paperloom.plans.adapters import ANN, NOTE, PRED, PUB, annotations, notated, predictions, publications, table
 from paperloom.plans.registry import query
 
@@ -183,11 +184,11 @@ def count_reconcile(spark, d):
 @query("runlength_assign", """WITH g AS (SELECT n_nationkey, n_name, sum(n_nationkey * 3 + 2) OVER (ORDER BY n_nationkey) - (n_nationkey * 3 + 2) lo, sum(n_nationkey * 3 + 2) OVER (ORDER BY n_nationkey) hi FROM nation),
   p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) i FROM supplier) SELECT s_suppkey, n_name FROM p JOIN g ON i > lo AND i <= hi""")
 def runlength_assign(spark, d):
-    # The lengths are a dimension of a few rows; positions are numbered in one window, as the i-th row is what the operator is about.
+    # The lengths are a dimension of a few rows.
     n = F.col("n_nationkey") * 3 + 2
     hi = F.sum(n).over(Window.orderBy("n_nationkey"))
     g = table(spark, d, "nation").select("n_name", (hi - n).alias("lo"), hi.alias("hi"))
-    p = table(spark, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy("s_suppkey")).alias("i"))
+    p = numbered(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", "i")
     return p.join(F.broadcast(g), (F.col("i") > F.col("lo")) & (F.col("i") <= F.col("hi"))).select("s_suppkey", "n_name")
 
 

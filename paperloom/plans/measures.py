@@ -11,6 +11,7 @@ from paperloom.operators import evaluation as E
 from paperloom.operators import knowledge as K
 from paperloom.operators import relationships as R
 from paperloom.operators import vectors as V
+from paperloom.operators.numbering import numbered
 from paperloom.plans.adapters import ANN, KB_FLAT, PRED, annotations, knowledge, predictions, table
 from paperloom.plans.registry import query
 from paperloom.streaming import batches as S
@@ -237,8 +238,7 @@ def top20_per_key(spark, d):
 
 @query("batch_assign", "SELECT s_suppkey, CAST(floor((row_number() OVER (ORDER BY s_suppkey) - 1) / 30) AS BIGINT) batch FROM supplier")
 def batch_assign(spark, d):
-    rn = F.row_number().over(Window.orderBy("s_suppkey"))
-    return table(spark, d, "supplier").select("s_suppkey", F.floor((rn - 1) / 30).alias("batch"))
+    return numbered(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", "i").select("s_suppkey", F.floor((F.col("i") - 1) / 30).alias("batch"))
 
 
 @query("topk_score", "SELECT event_id, value FROM events QUALIFY row_number() OVER (ORDER BY value DESC, event_id) <= 5")

@@ -46,8 +46,42 @@ def texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     return spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
-def ontology(spark: SparkSession, path: str) -> DataFrame:
-    """id, name, definition of the terms of an OBO file; stanzas are parted by blank lines."""
-    s = spark.read.option("lineSep", "\n\n").text(path).where(F.startswith(F.ltrim("value"), F.lit("[Term]")))
+def terms(stanzas: DataFrame) -> DataFrame:
+    """id, name, definition (null if there is none) of term stanzas in ``value``; other stanzas are left out."""
+    s = stanzas.where(F.startswith(F.ltrim("value"), F.lit("[Term]")))
     line = lambda k: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{k}: (.*)$", 1)), F.lit(""))
     return s.select(line("id").alias("id"), line("name").alias("name"), F.regexp_replace(line("def"), r'^"(.*)".*$', "$1").alias("definition"))
+
+
+def ontology(spark: SparkSession, path: str) -> DataFrame:
+    """id, name, definition of the terms of an OBO file; stanzas are parted by blank lines."""
+    return terms(spark.read.option("lineSep", "\n\n").text(path))
+
+
+def publication(docs: DataFrame, pmid: str) -> DataFrame:
+    """One publication, or no row."""
+    return docs.where(F.col("pmid") == pmid).limit(1)
+
+
+def by_format(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Publications in BioC JSON (``biocjson``) or as flat lines ``pmid|t|title`` and ``pmid|a|abstract`` (``pubtator``); other formats fail."""
+    if kind == "biocjson":
+        return publications(spark, path)
+    if kind == "pubtator":
+        lines = spark.read.text(path).select(F.split("value", r"\|", 3).alias("p")).where(F.size("p") == 3)
+        part = lambda k: F.max(F.when(F.col("p")[1] == k, F.col("p")[2]))
+        return lines.groupBy(F.col("p")[0].alias("pmid")).agg(part("t").alias("title"), part("a").alias("abstract"))
+    raise ValueError(f"unknown format {kind!r}; biocjson and pubtator are known")
+
+
+def literal_lines(spark: SparkSession, path: str, schema: str, gene: str) -> DataFrame:
+    """Rows of a file with one Python literal a line, with the gene they were asked for; lines that can't be read are left out."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    rows = spark.read.text(path).select(F.from_json(text, schema, {"allowSingleQuotes": "true"}).alias("r"))
+    return rows.where("r IS NOT NULL").select("r.*", F.lit(gene).alias("gene"))
+
+
+def whole_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A JSON file that holds one object or one array over many lines."""
+    read = spark.read.option("multiLine", True)
+    return (read.schema(schema) if schema else read).json(path)

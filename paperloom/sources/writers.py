@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.operators import records
+
 
 def csv(df: DataFrame, path: str, first: list[str] | None = None) -> None:
     """With a header; the columns in ``first`` come first and the rest by name."""
@@ -36,3 +38,32 @@ def report(df: DataFrame, path: str, status: str) -> None:
     """Rows and their statistics by status, side by side."""
     df.groupBy(status).agg(F.count("*").alias("n")).write.json(f"{path}/statistics")
     df.write.json(f"{path}/rows")
+
+
+def entity_csv(rels: DataFrame, path: str, base: list[str]) -> None:
+    """Scored relationships, one row for each entity with only its category's columns filled."""
+    records.entity_rows(rels, base).write.csv(path, header=True)
+
+
+def union_csv(parts: list[DataFrame], path: str, first: list[str] | None = None) -> None:
+    """All parts in one table with the union of their columns."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    csv(out, path, first)
+
+
+def lines(df: DataFrame, path: str, column: str) -> None:
+    """One value a line."""
+    df.select(F.col(column).cast("string").alias("value")).write.text(path)
+
+
+def append_json(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON Lines."""
+    df.write.mode("append").json(path)
+
+
+def sheets(tables: dict[str, DataFrame], path: str) -> None:
+    """Several tables side by side, each a CSV folder under its name."""
+    for name, df in tables.items():
+        csv(df, f"{path}/{name}", df.columns)
