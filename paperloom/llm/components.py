@@ -19,18 +19,21 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     with scratch(edges.sparkSession):
         e = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges", lasting=True)
-        state = None
-        while True:  # every round but the last brings some edge's end nearer to the least node
+        while not _settled(e):  # every round brings some edge's end nearer to the least node
             with scratch(edges.sparkSession):
                 e = _round(e)
-            now = tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
-            if now == state:
-                break
-            state = now
         e = written(e, "components", lasting=True)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges, each from a greater to a lesser node, are stars around the least nodes: no node has two edges down, or
+    edges both down and up. One count for each node and no join."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down")))).alias("end"))
+    node = ends.groupBy("end.node").agg(F.sum("end.down").alias("down"), F.min("end.down").alias("least"))
+    return node.where("down > 1 OR (down = 1 AND least = 0)").agg(F.count("*")).first()[0] == 0
+
+
 def _round(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     large = both.where("v > u").join(_minima(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

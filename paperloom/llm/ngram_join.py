@@ -7,8 +7,8 @@ A text's set is its distinct five-word shingles, as 64-bit hashes; texts with eq
    similarity without them. Two classes that link have postings in common, and so many that with all that was not posted
    they could reach the overlap asked for; pairs from short posting lists are counted and held against that. In long
    lists, runs whose sizes fit connect as a whole. The components of these connections, families, hold all links inside.
-3. A third scan reads the sets of classes in families, which a fixed-size bitmap lets through, and a signature tree in each
-   family, joined with itself by dual traversal, finds the links.
+3. A third scan shingles one text of each class in families, which a fixed-size bitmap of text hashes lets through, and a
+   signature tree in each family, joined with itself by dual traversal, finds the links.
 
 A family of more than ``BLOCK`` shingles is dealt to blocks. Blocks are joined each for itself; then one text for each
 component found; and what still lies outside a family's largest component is joined, in blocks, with all of it. Every pair
@@ -43,7 +43,7 @@ BATCH = 4_000_000
 MAX_SHARED = 200_000
 #: Members of a posting list up to which its pairs are counted.
 SHORT = 64
-#: Bits of the map that lets the sets of families through.
+#: Bits of the map that lets the texts of families through.
 MAP_BITS = 1 << 26
 #: Shingles in a block that is joined for itself.
 BLOCK = 16_384
@@ -122,8 +122,8 @@ def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, lis
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: a doc_id, b class, n size of the set, mark as in ``docs``. Rows of kind 1: a shingle, n texts of one batch that have it."""
-    names_of = ["kind", "a", "b", "n", "mark"]
+    """Rows of kind 0: a doc_id, b class, n size of the set, mark and hash as in ``docs``. Rows of kind 1: a shingle, n texts of one batch that have it."""
+    names_of = ["kind", "a", "b", "n", "mark", "hash"]
 
     def run(parts):
         seen: set[int] = set()
@@ -136,14 +136,16 @@ def profile(docs: DataFrame) -> DataFrame:
             held.clear()
             seen.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([1] * k, pa.int8()), pa.array(values[ok].astype(np.int64), pa.int64()), pa.nulls(k, pa.int64()), pa.array(counts[ok], pa.int64()), pa.nulls(k, pa.int64())], names=names_of
+                [pa.array([1] * k, pa.int8()), pa.array(values[ok].astype(np.int64), pa.int64()), pa.nulls(k, pa.int64()), pa.array(counts[ok], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
+                names=names_of,
             )
 
         size = 0
         for piece, sets in _scan(parts):
             names = [class_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(sets), pa.int8()), piece.column(0), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), piece.column(2)], names=names_of
+                [pa.array([0] * len(sets), pa.int8()), piece.column(0), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), piece.column(2), piece.column(3)],
+                names=names_of,
             )
             for c, s in zip(names, sets, strict=True):
                 if len(s) and c not in seen:
@@ -156,7 +158,7 @@ def profile(docs: DataFrame) -> DataFrame:
         if held:
             yield shared()
 
-    return docs.mapInArrow(run, "kind byte, a long, b long, n long, mark long")
+    return docs.mapInArrow(run, "kind byte, a long, b long, n long, mark long, hash long")
 
 
 def postings(docs: DataFrame, shared: np.ndarray, similar: Similarity) -> DataFrame:
@@ -281,8 +283,9 @@ def _parts(df: DataFrame) -> int:
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """c and its set's bytes, for the classes given and few others; one row for each task that has the class."""
-    words = classes.select((F.col("c").bitwiseAND(F.lit(MAP_BITS - 1))).alias("bit"))
+    """c and its set's bytes, for the classes given and few others; one row for each task that has the text. ``classes``: hash of
+    one text of each. Other texts are left out before they are shingled."""
+    words = classes.select((F.col("hash").bitwiseAND(F.lit(MAP_BITS - 1))).alias("bit"))
     words = words.select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 AS int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
     marks = np.zeros(MAP_BITS // 64, dtype=np.int64)
     got = words.toPandas()  # MAP_BITS / 64 rows at most
@@ -291,19 +294,18 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(parts):
         seen: set[int] = set()
-        for _, sets in _scan(parts):
-            names, values = [], []
-            for s in sets:
-                if not len(s):
-                    continue
-                c = class_of(s)
-                bit = c & (MAP_BITS - 1)
-                if c not in seen and int(held.value[bit >> 6]) >> (bit & 63) & 1:
-                    seen.add(c)
-                    names.append(c)
-                    values.append(s.tobytes())
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary())], names=["c", "members"])
+
+        def asked(part):
+            hashes = part.column(3).to_numpy()
+            bit = hashes & (MAP_BITS - 1)
+            rows = np.flatnonzero(held.value[bit >> 6] >> (bit & 63) & 1)
+            rows = [i for i, h in zip(rows.tolist(), hashes[rows].tolist(), strict=True) if not (h in seen or seen.add(h))]
+            return part.take(pa.array(rows, pa.int64()))
+
+        for _, sets in _scan(map(asked, parts)):
+            sets = [s for s in sets if len(s)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "members"])
 
     return docs.mapInArrow(run, "c long, members binary")
 
@@ -375,21 +377,21 @@ def join(docs: DataFrame, similar: Similarity = Similarity(), key: str = "doc_id
     goes along with the row, null without one)."""
     spark = docs.sparkSession
     mark = F.lit(None) if mark is None else mark
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), mark.cast("long").alias("mark"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), mark.cast("long").alias("mark"), F.xxhash64(text).alias("hash"))
     with scratch(spark):
         seen = written(profile(docs), "profile", lasting=True)
-        rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), "n", "mark")
+        rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), "n", "mark", "hash")
         shared = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "a").limit(MAX_SHARED)
         common = np.sort(shared.select("a").toPandas()["a"].to_numpy(dtype=np.int64).astype(np.uint64))
         edges = written(connections(postings(docs, common, similar), similar), "connections")
         swept(spark)
-        first = written(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
+        first = written(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min("hash").alias("hash")), "classes")
         families = components(edges)
         families = families.select(F.col("node").alias("c"), F.col("root").alias("family")).unionByName(families.select(F.col("root").alias("c"), F.col("root").alias("family")).distinct())
-        families = written(families.join(first.select("c", "n"), "c"), "families")
+        families = written(families.join(first.select("c", "n", "hash"), "c"), "families")
         sets = written(sets_of(docs, families).dropDuplicates(["c"]), "sets")
         swept(spark)
-        roots = links(families, sets, similar)
+        roots = links(families.drop("hash"), sets, similar)
         linked = first.join(roots, first["c"] == roots["node"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
         linked = written(linked, "linked")
         least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
