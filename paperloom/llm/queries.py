@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, html_text, language_model, mixing, ngram_join, oracles, pii, quality, secrets, sharding, url_filter
+from paperloom.llm import chat_format, decontaminate, filter_audit, html_text, language_model, mixing, ngram_join, oracles, pii, quality, secrets, sharding, spelling, url_filter
 from paperloom.llm.common import table
 
 #: Three racks of four shards in each of two regions.
@@ -78,6 +78,36 @@ def op10_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+CHAT = chat_format.Template()
+#: A conversation of which every text is full of control strings.
+TRICKY = [(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
+
+
+def op11_event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    log = chat_format.logged(turns.unionByName(spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")))
+    return chat_format.digests(chat_format.rendered(chat_format.messages(log), CHAT), CHAT)
+
+
+#: Conditions under which a document fails the filters A to D; E is that it repeats the text of a smaller doc_id.
+FILTERS = {
+    "A": "n_words < 200",
+    "B": "100 * n_distinct < 50 * n_words",
+    "C": "100 * n_capitals > 3 * n_chars",
+    "D": "n_symbols > 0",
+}
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fails = {name: F.expr(rule) for name, rule in FILTERS.items()}
+    counts = filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fails, duplicates="E")
+    return filter_audit.audit(counts, "".join(FILTERS) + "E")
+
+
+def op13_pigeonhole_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"), least=5, count=3, ratio=2, slip=spelling.slipped)
+
+
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op1_url_trie": op1_url_trie,
@@ -89,11 +119,17 @@ QUERIES = {
     "op9_randomness_battery": op9_randomness_battery,
     "op8_source_mixing": op8_source_mixing,
     "op10_weighted_hash_tree": op10_weighted_hash_tree,
+    "op11_event_fold": op11_event_fold,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_pigeonhole_variants": op13_pigeonhole_variants,
 }
 
 #: DuckDB SQL by query name. The others have parts that are learned or drawn, or that SQL lacks; tests hold those against brute force.
 ORACLES = {
     "op1_url_trie": oracles.URL,
     "op7_positional_index": oracles.CONTAMINATION,
+    "op11_event_fold": oracles.chat(CHAT.start, CHAT.end, CHAT.controls, "assistant", TRICKY),
+    "op12_filter_audit": oracles.AUDIT,
+    "op13_pigeonhole_variants": oracles.SPELLING,
     "op8_source_mixing": oracles.mixing(MIX.share, MIX.max_epochs, MIX.seed, {name: w for (level, name), w in MIX.weights.items()}),
 }
