@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.similarity import text_similar_rules
 
-#: Widths of the bins of a region join, each so many times the one before; an interval lies in the narrowest bins of which it needs two at most.
+#: Width of the narrowest bins of a region join, how many widths there are, and how many times the one before each is.
 BIN, STEPS, FACTOR = 64, 6, 16
 
 
@@ -52,37 +55,42 @@ def validated(rels: DataFrame, kb: DataFrame, similar: bool = True) -> DataFrame
     return met.withColumn("result", result).select(*rels.columns, "reason", "result")
 
 
-def overlaps(regions: DataFrame, kb: DataFrame) -> DataFrame:
-    """(region_id, kb_id) of known variants that overlap a region on its chromosome.
+def _binned(df: DataFrame, a: str, b: str, alone: str, other: str, wider: int) -> DataFrame:
+    """A row for each bin in which an interval is looked for: as ``alone`` in its own level, as ``other`` from ``wider`` levels above on."""
+    widths = [BIN * FACTOR**i for i in range(STEPS)]
+    own = F.size(F.filter(F.array(*map(F.lit, widths[:-1])), lambda w: w < F.col(b) - F.col(a)))
+    above = F.filter(F.array(*map(F.lit, range(STEPS))), lambda x: x >= own + wider)
+    place = lambda who, level: F.struct(F.lit(who).alias("_as"), level.alias("_level"))
+    rows = df.withColumn("_at", F.explode(F.concat(F.array(place(alone, own)), F.transform(above, lambda x: place(other, x)))))
+    rows = rows.select(*df.columns, "_at._as", "_at._level", F.element_at(F.array(*map(F.lit, widths)), F.col("_at._level") + 1).alias("_width"))
+    bins = F.explode(F.expr(f"sequence(({a} - pmod({a}, _width)) div _width, ({b} - pmod({b}, _width)) div _width)"))
+    return rows.withColumn("_bin", bins)
+
 
-    Each interval goes to the bins it touches at its own level, the narrowest at which these are two at most, so that long
-    intervals take no more rows than short ones. A known interval is looked up at every level; a pair meets at the region's
-    level only, in the first bin that both touch, so none comes twice and nothing has to be made distinct.
+def candidates(regions: DataFrame, kb: DataFrame, keys: tuple[str, ...] = ("chr",)) -> DataFrame:
+    """Pairs of a region and a known interval that share a bin and the ``keys``, with their bounds.
+
+    An interval's own level is the narrowest with bins as wide as itself, so it touches two bins at most (but for those wider than
+    the widest). A pair meets at the wider one's own level only: there the wider one stands alone, and the narrower one in its bin of every level
+    above its own. So narrow intervals meet in narrow bins, and none in bins wider than both.
     """
-    width = lambda level: F.pow(F.lit(float(FACTOR)), level) * BIN
-    levels = F.sequence(F.lit(0), F.lit(STEPS - 1))
-
-    def binned(df: DataFrame, a: str, b: str) -> DataFrame:
-        return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(a) / width(F.col("_level"))), F.floor(F.col(b) / width(F.col("_level"))))))
-
-    def fits(a: Column, b: Column) -> Column:
-        """The narrowest level at which the interval is no wider than a bin; the last one for wider ones."""
-        return F.coalesce(F.get(F.filter(levels, lambda x: width(x) >= b - a), F.lit(0)), F.lit(STEPS - 1))
-
-    r = regions.select("region_id", F.col("chr").alias("rc"), F.col("start").alias("rs"), F.col("end").alias("re")).where("rs <= re")
-    k = kb.select("kb_id", F.col("chr").alias("kc"), F.col("start").alias("ks"), F.col("stop").alias("ke")).where("ks <= ke")
-    # A pair meets at the wider of its two levels: each side stands at its own level and at all wider ones.
-    r = binned(r.withColumn("_own", fits(F.col("rs"), F.col("re"))).withColumn("_level", F.explode(F.expr(f"sequence(_own, {STEPS - 1})"))), "rs", "re")
-    k = binned(k.withColumn("_kown", fits(F.col("ks"), F.col("ke"))).withColumn("_level", F.explode(F.expr(f"sequence(_kown, {STEPS - 1})"))), "ks", "ke")
-    k = k.withColumnRenamed("_bin", "_kbin").withColumnRenamed("_level", "_klevel")
-    same = (F.col("rc") == F.col("kc")) & (F.col("_level") == F.col("_klevel")) & (F.col("_bin") == F.col("_kbin")) & (F.col("ks") <= F.col("re")) & (F.col("ke") >= F.col("rs"))
-    met = r.join(k, same & (F.col("_level") == F.greatest("_own", "_kown")))
-    return met.where(F.col("_bin") == F.floor(F.greatest("rs", "ks") / width(F.col("_level")))).select("region_id", "kb_id")
-
-
-def enriched(regions: DataFrame, kb: DataFrame) -> DataFrame:
-    """Every region with ``kb_ids`` (sorted, empty if none) and ``error`` (null unless chromosome, start or end are missing or out of order)."""
-    hits = overlaps(regions.dropDuplicates(["region_id"]), kb).groupBy("region_id").agg(F.array_sort(F.collect_set("kb_id")).alias("kb_ids"))
-    error = F.when(F.col("chr").isNull() | F.col("start").isNull() | F.col("end").isNull(), "missing coordinates").when(F.col("start") > F.col("end"), "start after end")
+    r = regions.select("region_id", *keys, F.col("start").cast("long").alias("rs"), F.col("end").cast("long").alias("re")).where("rs <= re")
+    k = kb.select("kb_id", *keys, F.col("start").cast("long").alias("ks"), F.col("stop").cast("long").alias("ke")).where("ks <= ke")
+    r = _binned(r, "rs", "re", alone="region", other="known", wider=1)
+    k = _binned(k, "ks", "ke", alone="known", other="region", wider=0)
+    return r.join(k.drop("_width"), [*keys, "_as", "_level", "_bin"])
+
+
+def overlaps(regions: DataFrame, kb: DataFrame, keys: tuple[str, ...] = ("chr",)) -> DataFrame:
+    """(region_id, kb_id) of known variants that overlap a region of the same chromosome; ``keys`` may add an assembly.
+    A pair is found in the first bin that both touch, so none comes twice and nothing has to be made distinct."""
+    met = candidates(regions, kb, keys).where((F.col("ks") <= F.col("re")) & (F.col("ke") >= F.col("rs")))
+    return met.where(F.col("_bin") == F.expr("(greatest(rs, ks) - pmod(greatest(rs, ks), _width)) div _width")).select("region_id", "kb_id")
+
+
+def enriched(regions: DataFrame, kb: DataFrame, keys: tuple[str, ...] = ("chr",)) -> DataFrame:
+    """Every region with ``kb_ids`` (sorted, empty if none) and ``error`` (null unless one of the keys, start or end are missing or out of order)."""
+    hits = overlaps(regions.dropDuplicates(["region_id"]), kb, keys).groupBy("region_id").agg(F.array_sort(F.collect_set("kb_id")).alias("kb_ids"))
+    error = F.when(reduce(or_, [F.col(c).isNull() for c in keys]) | F.col("start").isNull() | F.col("end").isNull(), "missing coordinates").when(F.col("start") > F.col("end"), "start after end")
     none = F.array().cast(kb.select(F.array("kb_id").alias("a")).schema["a"].dataType)
     return regions.join(hits, "region_id", "left").select(*regions.columns, F.coalesce("kb_ids", none).alias("kb_ids"), error.alias("error"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that are broadcast together, about; more go block by block.
 MAX_QUERIES = 10_000
+#: Scores that a task holds at a time.
+CELLS = 4_000_000
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
@@ -31,6 +33,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     return got.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.abs(F.col("score")) if metric != "cosine" else F.col("score"))
 
 
+def _distances(q: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Less the Euclidean distance of each query and vector that may be among the query's ``k`` nearest, the others far away.
+
+    The expanded square loses digits for near vectors, at most ``lost``. All within twice that, and the rounding of results, of the k-th value are
+    measured by differences, so that equals are all there, however many they are."""
+    qq, vv = (q**2).sum(1)[:, None], (v**2).sum(1)[None, :]
+    square = np.maximum(qq + vv - 2 * q @ v.T, 0)
+    lost = (qq + vv.max()) * (q.shape[1] + 8) * np.finfo(np.float64).eps
+    kth = np.partition(square, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1 : min(k, len(v))]
+    near = square <= (np.sqrt(kth + lost) + 1e-6) ** 2 + lost
+    out = np.full(square.shape, -np.inf)
+    for i, at in enumerate(near):
+        out[i, at] = -np.linalg.norm(v[at] - q[i], axis=1)
+    return out
+
+
 def _block(vectors: DataFrame, rows: list, k: int, metric: str) -> DataFrame:
     ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
@@ -45,18 +63,11 @@ def _block(vectors: DataFrame, rows: list, k: int, metric: str) -> DataFrame:
             if not len(pdf) or not len(q_ids):
                 continue
             v, names = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["vec_id"].to_numpy()
-            if metric == "cosine":
-                s = unit(q) @ unit(v).T
-            else:
-                s = 2 * q @ v.T - (q**2).sum(1)[:, None] - (v**2).sum(1)[None, :]
-                # The expanded square loses digits for near vectors; what may be among the best is taken from differences.
-                near = np.argpartition(-s, min(k + 8, len(v) - 1), axis=1)[:, : k + 8]
-                exact = np.full(s.shape, -np.inf)
-                for i, at in enumerate(near):
-                    exact[i, at] = -np.linalg.norm(v[at] - q[i], axis=1)
-                s = exact
-            s = np.round(s, 6)
-            best = np.lexsort((np.broadcast_to(names, s.shape), -s), axis=1)[:, : min(k, len(v))]
-            yield pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "vec_id": names[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
+            step = max(1, CELLS // len(v))
+            for i in range(0, len(q), step):
+                s = unit(q[i : i + step]) @ unit(v).T if metric == "cosine" else _distances(q[i : i + step], v, k)
+                s = np.round(s, 6)
+                best = np.lexsort((np.broadcast_to(names, s.shape), -s), axis=1)[:, : min(k, len(v))]
+                yield pd.DataFrame({"query_id": np.repeat(q_ids[i : i + step], best.shape[1]), "vec_id": names[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
 
     return vectors.select("vec_id", "embedding").mapInPandas(score, "query_id long, vec_id long, score double")
