@@ -81,16 +81,58 @@ def of_types(ann: DataFrame, types: list[str]) -> DataFrame:
     return ann.where(F.lower("type").isin([t.lower() for t in types]))
 
 
+# Element names of a knowledge-base record in XML, in its full form and in a short one.
+_TRAITS = "ARRAY<STRUCT<Name: ARRAY<STRUCT<_VALUE: STRING, ElementValue: ARRAY<STRUCT<_VALUE: STRING>>>>, XRef: ARRAY<STRUCT<_DB: STRING, _ID: STRING>>>>"
+_PLACES = "ARRAY<STRUCT<_Assembly: STRING, _Chr: STRING, _start: STRING, _stop: STRING>>"
+_ASSERTION = (
+    "STRUCT<ClinicalSignificance: STRUCT<Description: STRING>, "
+    f"MeasureSet: STRUCT<Measure: ARRAY<STRUCT<MeasureRelationship: ARRAY<STRUCT<Symbol: STRUCT<ElementValue: STRUCT<_VALUE: STRING>>>>, SequenceLocation: {_PLACES}>>>, TraitSet: STRUCT<Trait: {_TRAITS}>>"
+)
+KB_XML = (
+    f"Classification STRUCT<Description: STRING>, Gene ARRAY<STRUCT<_Symbol: STRING>>, Trait {_TRAITS}, SequenceLocation {_PLACES}, "
+    f"ReferenceClinVarAssertion {_ASSERTION}, ClinVarSet STRUCT<ReferenceClinVarAssertion: {_ASSERTION}>"
+)
+
+
 def kb_from_xml(df: DataFrame, xml: str) -> DataFrame:
-    """Adds significance, genes, phenotypes (name and OMIM number) and places (assembly, chromosome, start, stop) of a record."""
-    refs = F.xpath(xml, F.lit("//Trait/XRef[@DB='OMIM']/@ID"))
-    names = F.xpath(xml, F.lit("//Trait[XRef/@DB='OMIM']/Name/text()"))
-    at = lambda a: F.xpath(xml, F.lit(f"//SequenceLocation/@{a}"))
-    return df.select(
-        "*", F.coalesce(F.nullif(X.tag(F.col(xml), "Description"), F.lit("")), F.lit("Not provided")).alias("significance"), F.xpath(xml, F.lit("//Gene/@Symbol")).alias("genes"),
-        F.zip_with(names, refs, lambda n, r: F.struct(n.alias("name"), r.alias("omim"))).alias("phenotypes"),
-        F.arrays_zip(at("Assembly").alias("assembly"), at("Chr").alias("chr"), at("start").alias("start"), at("stop").alias("stop")).alias("places"),
-    )
+    """Adds significance, genes, traits (name, and OMIM number or null), phenotypes (the traits with an OMIM number), places (assembly,
+    chromosome, start, stop) and ``broken`` of a record.
+
+    A trait's name and number, and a place's parts, come out of one element, so a missing part is null and shifts nothing. A record
+    that is no XML has ``broken``, no lists' entries and the default significance; a null one is no broken one.
+    """
+    r = F.col("_r")
+    full = F.coalesce(r["ClinVarSet"]["ReferenceClinVarAssertion"], r["ReferenceClinVarAssertion"])
+    measures = full["MeasureSet"]["Measure"]
+    some = lambda *lists: F.filter(F.flatten(F.array(*[F.coalesce(x, F.array()) for x in lists])), lambda x: x.isNotNull())
+    genes = some(F.transform(r["Gene"], lambda g: g["_Symbol"]), F.transform(F.flatten(F.transform(measures, lambda m: F.coalesce(m["MeasureRelationship"], F.array()))), lambda g: g["Symbol"]["ElementValue"]["_VALUE"]))
+    name = lambda t: F.coalesce(F.get(t["Name"], F.lit(0))["_VALUE"], F.get(F.get(t["Name"], F.lit(0))["ElementValue"], F.lit(0))["_VALUE"])
+    omim = lambda t: F.get(F.filter(t["XRef"], lambda x: x["_DB"] == "OMIM"), F.lit(0))["_ID"]
+    traits = F.transform(some(r["Trait"], full["TraitSet"]["Trait"]), lambda t: F.struct(name(t).alias("name"), omim(t).alias("omim")))
+    places = some(r["SequenceLocation"], F.flatten(F.transform(measures, lambda m: F.coalesce(m["SequenceLocation"], F.array()))))
+    significance = F.coalesce(F.nullif(F.coalesce(r["Classification"]["Description"], full["ClinicalSignificance"]["Description"]), F.lit("")), F.lit("Not provided"))
+    got = df.withColumn("_r", X.record(xml, KB_XML)).select(
+        *[c for c in df.columns if c not in ("significance", "genes", "traits", "places", "broken", "phenotypes")], significance.alias("significance"), genes.alias("genes"),
+        F.filter(traits, lambda t: t["name"].isNotNull() | t["omim"].isNotNull()).alias("traits"),
+        F.transform(places, lambda p: F.struct(p["_Assembly"].alias("assembly"), p["_Chr"].alias("chr"), p["_start"].alias("start"), p["_stop"].alias("stop"))).alias("places"),
+        (F.col(xml).isNotNull() & r.isNull()).alias("broken"),
+    )
+    return got.withColumn("phenotypes", F.filter("traits", lambda t: t["omim"].isNotNull()))
+
+
+def significance(df: DataFrame, xml: str) -> DataFrame:
+    """Adds classification, review_status and last_evaluated of a record, null where they are missing."""
+    of = lambda name: X.first_text(xml, f"(//ClinicalSignificance)[1]/{name}")
+    return df.withColumns({"classification": of("Description"), "review_status": of("ReviewStatus"), "last_evaluated": of("DateLastEvaluated")})
+
+
+def variant_details(df: DataFrame, xml: str) -> DataFrame:
+    """Adds name, type, gene_symbol, gene_name and hgvs (a list) of a record; null or empty where they are missing."""
+    of = lambda path: X.first_text(xml, path)
+    return df.withColumns({
+        "name": F.coalesce(of("//Alleles/Name"), of("//Alleles/n")), "type": of("//VariantType"), "gene_symbol": of("//Gene/Symbol"), "gene_name": of("//Gene/FullName"),
+        "hgvs": X.first_texts(xml, "//HGVS/Expression"),
+    })
 
 
 KB_JSON = (
@@ -111,18 +153,18 @@ def kb_from_json(df: DataFrame, text: str) -> DataFrame:
 
 
 def article(df: DataFrame, xml: str) -> DataFrame:
-    """Adds title, authors, journal, date and abstract of an article, each ``N/A`` where it is missing."""
+    """Adds title, authors, journal, date and abstract of an article, each ``N/A`` where it is missing or the article is no XML."""
     some = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("N/A"))
-    first = lambda path: F.coalesce(F.get(F.xpath(xml, F.lit(path)), F.lit(0)), F.lit(""))
+    first = lambda path: F.coalesce(F.get(X.texts(xml, path), F.lit(0)), F.lit(""))
     return df.select(
         "*", some(first("//ArticleTitle/text()")).alias("title"), some(X.authors(xml)).alias("authors"), some(first("//Journal/Title/text()")).alias("journal"),
-        some(F.concat_ws("-", F.xpath(xml, F.lit("//PubDate/*/text()")))).alias("date"), some(F.array_join(F.xpath(xml, F.lit("//AbstractText/text()")), " ")).alias("abstract"),
+        some(F.concat_ws("-", X.texts(xml, "//PubDate/*/text()"))).alias("date"), some(F.array_join(X.texts(xml, "//AbstractText/text()"), " ")).alias("abstract"),
     )
 
 
 def abstract_text(xml: str) -> Column:
     """Title and abstract, joined by a blank; empty if there is neither."""
-    return F.trim(F.array_join(F.concat(F.xpath(xml, F.lit("//ArticleTitle/text()")), F.xpath(xml, F.lit("//AbstractText/text()"))), " "))
+    return F.trim(F.array_join(F.concat(X.texts(xml, "//ArticleTitle/text()"), X.texts(xml, "//AbstractText/text()")), " "))
 
 
 def cache_entries(df: DataFrame, entry: str, schema: str, ttl: float, now: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.functions import xml as XML
 from paperloom.operators import cooccurrence
 from paperloom.operators import records as R
 from paperloom.plans import chains
@@ -78,6 +79,64 @@ def kb_xml_record(spark, d):
     return r.select("p_partkey", "significance", F.array_join("genes", ";").alias("genes"), F.array_join(phenotypes, ";").alias("phenotypes"), F.array_join(places, ";").alias("places"))
 
 
+_UNEVEN = """CASE p_partkey % 7 WHEN 0 THEN concat('<Record><Gene Symbol="', p_brand) WHEN 2 THEN ''
+  WHEN 3 THEN concat('<Record><Classification><Description>', p_brand, '</Description></Classification><Gene Symbol="A"/><Gene/><Trait><Name>', p_type, '</Name><Name>again</Name><XRef DB="OMIM" ID="', p_partkey, '"/></Trait><Trait><Name>bare</Name></Trait><SequenceLocation Assembly="GRCh38" Chr="1"/><SequenceLocation Assembly="GRCh37" Chr="', p_size, '" start="5" stop="6"/></Record>')
+  WHEN 4 THEN concat('<ReleaseSet><ClinVarSet><ReferenceClinVarAssertion><ClinicalSignificance><Description>', p_brand, '</Description></ClinicalSignificance><MeasureSet><Measure><MeasureRelationship><Symbol><ElementValue Type="Preferred">', p_brand, '</ElementValue></Symbol></MeasureRelationship><SequenceLocation Chr="X" start="', p_partkey, '"/></Measure><Measure><SequenceLocation Assembly="GRCh38" Chr="Y" stop="9"/></Measure></MeasureSet><TraitSet><Trait><Name><ElementValue Type="Preferred">', p_type, '</ElementValue></Name><XRef DB="MeSH" ID="7"/></Trait><Trait><XRef DB="OMIM" ID="', p_size, '"/></Trait></TraitSet></ReferenceClinVarAssertion></ClinVarSet></ReleaseSet>')
+  WHEN 5 THEN concat('<Record><Trait><XRef DB="OMIM" ID="', p_partkey, '"/></Trait><Trait><Name>A &amp; B</Name><XRef DB="MeSH" ID="1"/><XRef DB="OMIM" ID="2"/></Trait><Trait/></Record>') WHEN 6 THEN '<Record/>' END"""
+
+
+@query("kb_xml_uneven", """SELECT p_partkey, CASE WHEN p_partkey % 7 IN (3, 4) THEN p_brand ELSE 'Not provided' END significance, CASE p_partkey % 7 WHEN 3 THEN 'A' WHEN 4 THEN p_brand ELSE '' END genes,
+  CASE p_partkey % 7 WHEN 3 THEN concat(p_type, '=', p_partkey, ';bare=-') WHEN 4 THEN concat(p_type, '=-;-=', p_size) WHEN 5 THEN concat('-=', p_partkey, ';A & B=2') ELSE '' END traits,
+  CASE p_partkey % 7 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END n_phenotypes,
+  CASE p_partkey % 7 WHEN 3 THEN concat('GRCh38:1:---;GRCh37:', p_size, ':5-6') WHEN 4 THEN concat('-:X:', p_partkey, '--;GRCh38:Y:--9') ELSE '' END places, p_partkey % 7 IN (0, 2) broken FROM part""")
+def kb_xml_uneven(spark, d):
+    r = R.kb_from_xml(table(spark, d, "part").select("p_partkey", F.expr(_UNEVEN).alias("x")), "x")
+    some = lambda c: F.coalesce(c, F.lit("-"))
+    traits = F.transform("traits", lambda t: F.concat(some(t["name"]), F.lit("="), some(t["omim"])))
+    places = F.transform("places", lambda p: F.concat(some(p["assembly"]), F.lit(":"), some(p["chr"]), F.lit(":"), some(p["start"]), F.lit("-"), some(p["stop"])))
+    return r.select("p_partkey", "significance", F.array_join("genes", ";").alias("genes"), F.array_join(traits, ";").alias("traits"), F.size("phenotypes").alias("n_phenotypes"), F.array_join(places, ";").alias("places"), "broken")
+
+
+_DETAILS = """CASE p_partkey % 5 WHEN 0 THEN '<r><Alleles>' WHEN 1 THEN concat('<r><Alleles><Name>', p_name, '</Name><VariantType>SNV</VariantType></Alleles><Gene><Symbol>', p_brand, '</Symbol></Gene><HGVS><Expression>c.', p_partkey, 'A&gt;G</Expression><Expression/></HGVS><HGVS><Expression>p.1</Expression></HGVS></r>')
+  WHEN 2 THEN concat('<r><Alleles><n>', p_name, '</n></Alleles><Gene><FullName>', p_type, '</FullName></Gene><ClinicalSignificance><ReviewStatus>', p_type, '</ReviewStatus></ClinicalSignificance></r>')
+  WHEN 3 THEN concat('<r><ClinicalSignificance><Description>', p_brand, '</Description><DateLastEvaluated>2020</DateLastEvaluated></ClinicalSignificance><ClinicalSignificance><ReviewStatus>late</ReviewStatus></ClinicalSignificance></r>') END"""
+
+
+@query("xml_variant_details", """SELECT p_partkey, CASE WHEN p_partkey % 5 IN (1, 2) THEN p_name END "name", CASE WHEN p_partkey % 5 = 1 THEN 'SNV' END "type", CASE WHEN p_partkey % 5 = 1 THEN p_brand END gene_symbol, CASE WHEN p_partkey % 5 = 2 THEN p_type END gene_name,
+  CASE WHEN p_partkey % 5 = 1 THEN concat('c.', p_partkey, 'A>G;p.1') ELSE '' END hgvs, CASE WHEN p_partkey % 5 = 3 THEN p_brand END classification, CASE WHEN p_partkey % 5 = 2 THEN p_type END review_status, CASE WHEN p_partkey % 5 = 3 THEN '2020' END last_evaluated FROM part""")
+def xml_variant_details(spark, d):
+    r = R.significance(R.variant_details(table(spark, d, "part").select("p_partkey", F.expr(_DETAILS).alias("x")), "x"), "x")
+    return r.withColumn("hgvs", F.array_join("hgvs", ";")).drop("x")
+
+
+_TREE = "CASE p_partkey % 4 WHEN 0 THEN '<r><broken></r>' WHEN 1 THEN concat('<r><n>', p_name, '</n><n>', p_type, '</n><d a=\"1\"><e>', p_brand, '</e></d></r>') WHEN 2 THEN concat('<r xmlns:q=\"http://q\"><q:n b=\"2\">', p_name, '</q:n></r>') END"
+
+
+@query("xml_tree", "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (1, 2) THEN p_name END one, CASE WHEN p_partkey % 4 = 1 THEN p_type END two, CASE WHEN p_partkey % 4 = 1 THEN p_brand END deep, CASE WHEN p_partkey % 4 = 2 THEN '2' END attribute FROM part")
+def xml_tree(spark, d):
+    t = table(spark, d, "part").select("p_partkey", F.expr(_TREE).alias("x")).withColumns({"t": XML.tree("x"), "a": XML.tree("x", attributes=True)})
+    at = lambda c, path: F.try_variant_get(c, path, "string")
+    first = F.when(F.col("p_partkey") % 4 == 1, at("t", "$.n[0]")).otherwise(at("t", "$.n"))
+    return t.select("p_partkey", first.alias("one"), at("t", "$.n[1]").alias("two"), at("t", "$.d.e").alias("deep"), at("a", "$.n._b").alias("attribute"))
+
+
+_GAPS = """CASE p_partkey % 5 WHEN 0 THEN '<A><Author><LastName>x' WHEN 1 THEN concat('<A><Author><CollectiveName>Group</CollectiveName></Author><Author><LastName>Solo</LastName></Author><Author><ForeName>F</ForeName><LastName>', p_brand, '</LastName></Author><Author><ForeName/><LastName>E</LastName></Author><Author><LastName>', p_type, '</LastName><ForeName>G</ForeName></Author><PubDate><Year>2001</Year></PubDate></A>')
+  WHEN 2 THEN '<A/>' WHEN 3 THEN concat('<A><ArticleTitle>', p_name, ' <i>in</i> vivo</ArticleTitle><AbstractText/></A>') END"""
+
+
+@query("xml_article_uneven", """SELECT p_partkey, CASE WHEN p_partkey % 5 = 3 THEN p_name ELSE 'N/A' END title, CASE WHEN p_partkey % 5 = 1 THEN concat('F ', p_brand, '; G ', p_type) ELSE 'N/A' END authors, CASE WHEN p_partkey % 5 = 1 THEN '2001' ELSE 'N/A' END date, 'N/A' abstract FROM part""")
+def xml_article_uneven(spark, d):
+    return R.article(table(spark, d, "part").select("p_partkey", F.expr(_GAPS).alias("x")), "x").select("p_partkey", "title", "authors", "date", "abstract")
+
+
+_PMC = """CASE p_partkey % 4 WHEN 0 THEN '<article><p>' WHEN 1 THEN concat('<article><article-title>', p_name, '</article-title><abstract><sec><p>', p_type, '<i>x</i> tail</p></sec><p><b>bold first</b> late</p></abstract><body><sec><p>', p_brand, '</p><p/></sec></body><p>outside</p></article>') WHEN 2 THEN concat('<article><body><p>', p_brand, ' <p>inner</p></p></body></article>') END"""
+
+
+@query("xml_full_text", "SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN concat(p_name, chr(10), chr(10), p_type, chr(10), chr(10), p_brand) WHEN 2 THEN concat(p_brand, ' ', chr(10), chr(10), 'inner') ELSE '' END y FROM part")
+def xml_full_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.expr(_PMC).alias("x")).select("p_partkey", XML.full_text("x").alias("y"))
+
+
 _KBJSON = """concat('{"uid": "', p_partkey, '", "title": "', p_name, '", "germline_classification": ', CASE WHEN p_size % 4 = 0 THEN 'null' ELSE concat('{"description": "', p_brand, '"}') END, ', "genes": [{"symbol": "', p_brand, '", "geneid": "7"}, {"symbol": "G2"}],
   "trait_set": [{"trait_name": "', p_type, '"}], "variation_set": [{"variation_loc": [{"assembly_name": "GRCh38", "chr": "', p_size, '", "start": "1", "stop": "2"}]}]}', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' ' END)"""
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOCUMENT = (
     "ARRAY<STRUCT<id: STRING, infons: MAP<STRING, STRING>, passages: ARRAY<STRUCT<offset: INT, infons: MAP<STRING, STRING>, text: STRING, "
@@ -74,11 +79,25 @@ def by_format(spark: SparkSession, path: str, kind: str) -> DataFrame:
     raise ValueError(f"unknown format {kind!r}; biocjson and pubtator are known")
 
 
+@F.pandas_udf(T.StringType())
+def _literal_json(lines: pd.Series) -> pd.Series:
+    """A Python literal that is a mapping, as JSON; null for any other text."""
+
+    def read(line: str | None) -> str | None:
+        try:
+            value = ast.literal_eval(line.strip())
+            return json.dumps(value) if isinstance(value, dict) else None
+        except (ValueError, SyntaxError, TypeError, AttributeError, RecursionError, MemoryError):
+            return None
+
+    return lines.map(read)
+
+
 def literal_lines(spark: SparkSession, path: str, schema: str, gene: str) -> DataFrame:
-    """Rows of a file with one Python literal a line, with the gene they were asked for; lines that can't be read are left out."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
-    rows = spark.read.text(path).select(F.from_json(text, schema, {"allowSingleQuotes": "true"}).alias("r"))
-    return rows.where("r IS NOT NULL").select("r.*", F.lit(gene).alias("gene"))
+    """Rows of a file with one Python mapping a line, with the gene they were asked for. Words inside strings stay as they are; lines that
+    are no mapping, or can't be read, are left out."""
+    lines = spark.read.text(path).select(_literal_json("value").alias("_json")).where("_json IS NOT NULL")
+    return lines.select(F.from_json("_json", schema).alias("r")).select("r.*", F.lit(gene).alias("gene"))
 
 
 def whole_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
