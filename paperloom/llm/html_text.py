@@ -3,9 +3,14 @@
 A page becomes a flat list of text blocks. Each block has its words, its link density, the same of the blocks before and
 after, and what encloses it: a part that is no main text (menus, page headers, footers, sidebars, notices, adverts,
 comments, by tag or by class and id), a form, or an article. A decision tree, grown on the small labelled table ``EXAMPLES``,
-tells main text from the rest; the main blocks in page order are the text. Tags don't decide alone, except for named parts: runs
-of links inside an article or main part are menus and teasers, a form can wrap a whole page and then its long plain blocks are
-text, and pages without an article are told by words and link density of a block and its neighbours only.
+tells main text from the rest; the main blocks in page order are the text. Tags don't decide alone, except for named parts: a
+form can wrap a whole page and then its long plain blocks are text, and pages without an article are told by words and link
+density of a block and its neighbours only. Neighbouring blocks of nothing but links are one run and are judged as one, by the
+blocks around them: three or more of them at the head or end of an article are a menu or teasers, between its paragraphs a list.
+
+A class or id names a part by a whole word of it: listed itself, or made of a listed word and words for places ("ad-slot", "site-footer"), not
+"ad-free", "no-comments" or "related-work". A named part that holds the page's only article, or most plain words of a page without
+one, is not dropped for its name; comments are.
 
 Cases: null html is empty; cut-off pages end with their last whole tag; an unknown or unclosed tag closes with what
 encloses it; character references are decoded block by block, those cut off stay as they are; repeated rows get equal
@@ -29,11 +34,15 @@ RAW = frozenset("script style noscript template iframe textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img math mi mn mo ms mtext mrow mfrac msup msub msqrt".split())
 ASIDE = frozenset("nav header footer aside menu dialog head button select".split())
 MAIN = frozenset(("article", "main"))
-#: Parts of a class or id that name what isn't main text.
+#: Words of a class or id that name what isn't main text.
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu sidebar footer comment comments reply replies "
     "disqus cookie cookies consent notice popup modal newsletter subscribe share social related breadcrumb breadcrumbs pagination widget header".split()
 )
+#: Words that say what kind of part a name is for, and words before a name that say something else about what has them.
+PLACES = frozenset("area bar block box body container content footer form group header inner item items left link links list main outer panel posts primary right row section slot stories top bottom unit widget wrap wrapper".split())
+OTHERS = frozenset("no not non with without has have hide hides is in under by".split())
+COMMENTS = frozenset("comment comments reply replies disqus".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']+|\"[^\"<]*\"|'[^'<]*')*+)/?>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>|<[!?][^>]*>|<[/!?]?[A-Za-z][^<>]*\Z",
     re.S,
@@ -41,9 +50,12 @@ TOKEN = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: The table the tree is grown on: in such a part, in a form, in an article or main part, page has one of these, words, link density,
-#: words before, link density before, words after, link density after, is main text.
-FEATURES = ("aside", "in_form", "in_article", "has_article", "words", "links", "words_before", "links_before", "words_after", "links_after")
-EXAMPLES = (
+#: words before, link density before, words after, link density after, is main text. ``_RUNS`` have the number of blocks in their run of links
+#: before the last, or 0 for blocks of other text.
+FEATURES = ("aside", "in_form", "in_article", "has_article", "words", "links", "words_before", "links_before", "words_after", "links_after", "run")
+#: A block with a link density from here on is nothing but links.
+LINKS = 0.9
+_SINGLE = (
     (1, 0, 0, 1, 6, 1.0, 0, 0.0, 5, 1.0, 0), (1, 0, 0, 1, 30, 0.0, 5, 1.0, 12, 0.0, 0), (1, 0, 0, 0, 25, 0.0, 40, 0.0, 3, 0.0, 0), (1, 0, 1, 1, 3, 1.0, 60, 0.0, 4, 1.0, 0),
     (1, 0, 1, 1, 45, 0.0, 80, 0.0, 20, 0.1, 0), (1, 0, 0, 0, 2, 1.0, 1, 1.0, 2, 1.0, 0), (1, 0, 0, 1, 14, 0.2, 90, 0.0, 0, 0.0, 0), (1, 0, 0, 0, 60, 0.1, 70, 0.0, 80, 0.0, 0),
     (0, 0, 1, 1, 120, 0.0, 9, 0.0, 80, 0.0, 1), (0, 0, 1, 1, 1, 0.0, 40, 0.0, 60, 0.0, 1), (0, 0, 1, 1, 8, 0.0, 0, 0.0, 90, 0.0, 1), (0, 0, 1, 1, 2, 1.0, 30, 0.0, 3, 0.5, 1),
@@ -72,6 +84,25 @@ EXAMPLES = (
 )
 
 
+_RUNS = (
+    (0, 0, 1, 1, 3, 1.0, 0, 0.0, 60, 0.0, 3, 0), (0, 0, 1, 1, 6, 1.0, 0, 0.0, 9, 0.0, 5, 0), (0, 0, 1, 1, 2, 1.0, 8, 0.0, 0, 0.0, 6, 0), (0, 0, 1, 1, 9, 1.0, 70, 0.0, 0, 0.0, 4, 0),
+    (0, 0, 1, 1, 5, 1.0, 30, 0.0, 0, 0.0, 12, 0), (0, 0, 1, 1, 2, 1.0, 1, 0.0, 0, 0.0, 8, 0), (0, 0, 1, 1, 2, 1.0, 0, 0.0, 1, 0.0, 9, 0), (0, 0, 1, 1, 4, 1.0, 0, 0.0, 0, 0.0, 7, 0),
+    (0, 0, 1, 1, 3, 1.0, 40, 0.0, 60, 0.0, 6, 1), (0, 0, 1, 1, 7, 1.0, 12, 0.1, 90, 0.0, 3, 1), (0, 0, 1, 1, 2, 1.0, 5, 0.0, 25, 0.2, 15, 1), (0, 0, 1, 1, 10, 1.0, 80, 0.0, 6, 0.0, 4, 1),
+    (0, 0, 1, 1, 4, 1.0, 50, 0.0, 40, 0.0, 2, 1), (0, 0, 1, 1, 6, 1.0, 0, 0.0, 70, 0.0, 2, 1), (0, 0, 1, 1, 3, 1.0, 60, 0.0, 0, 0.0, 2, 1), (0, 0, 1, 1, 5, 1.0, 0, 0.0, 0, 0.0, 2, 1),
+    (0, 0, 1, 1, 3, 1.0, 60, 0.0, 0, 0.0, 1, 1), (0, 0, 1, 1, 3, 1.0, 0, 0.0, 60, 0.0, 1, 1), (0, 0, 0, 0, 3, 1.0, 0, 0.0, 60, 0.0, 5, 0), (0, 0, 0, 0, 5, 1.0, 60, 0.0, 0, 0.0, 6, 0),
+    (0, 0, 0, 0, 4, 1.0, 60, 0.0, 70, 0.0, 4, 0), (0, 0, 0, 0, 3, 1.0, 2, 0.0, 5, 0.0, 3, 0), (0, 0, 0, 1, 5, 1.0, 30, 0.0, 0, 0.0, 4, 0), (0, 0, 0, 0, 6, 1.0, 0, 0.0, 0, 0.0, 9, 0),
+    (0, 0, 1, 1, 12, 0.85, 60, 0.0, 0, 0.0, 0, 0), (0, 0, 1, 1, 20, 0.8, 30, 0.0, 0, 0.0, 0, 0), (0, 0, 1, 1, 9, 0.85, 6, 0.0, 0, 0.0, 0, 0), (0, 0, 1, 1, 15, 0.8, 0, 0.0, 60, 0.0, 0, 0),
+    (0, 0, 1, 1, 30, 0.85, 90, 0.0, 0, 0.0, 0, 0), (0, 0, 1, 1, 10, 0.85, 0, 0.0, 8, 0.0, 0, 0), (0, 0, 1, 1, 14, 0.85, 50, 0.0, 60, 0.0, 0, 1), (0, 0, 1, 1, 30, 0.7, 8, 0.0, 12, 0.0, 0, 1),
+    (0, 1, 0, 0, 3, 1.0, 60, 0.0, 50, 0.0, 4, 0), (0, 1, 1, 1, 4, 1.0, 0, 0.0, 60, 0.0, 5, 0), (1, 0, 0, 1, 3, 1.0, 0, 0.0, 4, 0.0, 6, 0), (1, 0, 1, 1, 3, 1.0, 60, 0.0, 4, 0.0, 5, 0),
+)
+#: A run of links has no neighbours that are links, so single rows of that kind say nothing.
+#: In an article plain blocks of any length are text, whatever stands around them.
+EXAMPLES = (
+    *((*r[:-1], int(r[5] >= LINKS), r[-1]) for r in _SINGLE if r[0] or r[5] < LINKS or max(r[7], r[9]) < LINKS), *_RUNS,
+    *((0, 0, 1, 1, words, 0.0, before, 0.0, after, 0.0, 0, 1) for words in (1, 3, 9, 40, 150) for before in (0, 3, 70) for after in (0, 3, 70)),
+)
+
+
 @dataclass(frozen=True)
 class Node:
     main: bool
@@ -120,6 +151,7 @@ class Block:
     aside: bool
     in_form: bool
     in_article: bool
+    part: int = -1
     pieces: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
 
@@ -129,12 +161,26 @@ class Block:
         self.links = min(1.0, sum(len(x.split()) for x in self.linked) / self.words) if self.words else 0.0
 
 
-def _names_aside(attributes: str, in_article: bool) -> bool:
+def _named(attributes: str, in_article: bool) -> frozenset[str]:
+    """The listed words that a class, id or role names its element by."""
+    found: set[str] = set()
     for m in NAMES.finditer(attributes):
-        names = set(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())) & ASIDE_NAMES
-        if names - ({"header"} if in_article else set()):
-            return True
-    return False
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            listed = [w for w in words if w in ASIDE_NAMES]
+            if listed and words[0] not in OTHERS and (words[-1] in ASIDE_NAMES or all(w in PLACES or w in ASIDE_NAMES for w in words)):
+                found.update(listed)
+    return frozenset(found - ({"header"} if in_article else set()))
+
+
+@dataclass
+class Part:
+    """A named part, the one around it or -1, and what it holds."""
+
+    around: int
+    comments: bool
+    article: bool = False
+    plain: int = 0
 
 
 @dataclass(frozen=True)
@@ -145,17 +191,37 @@ class Open:
     aside: bool = False
     in_form: bool = False
     in_article: bool = False
+    part: int = -1
     paragraph: int = -1
 
 
+def _dropped(parts: list[Part], found: list[Block], apart: bool) -> list[bool]:
+    """Whether each named part goes for its name or lies in one that does. ``apart``: an article stands outside of all of them."""
+    total = 0
+    for b in found:
+        if not b.aside:
+            plain = round(b.words * (1 - b.links))
+            total += plain
+            k = b.part
+            while k >= 0:
+                parts[k].plain += plain
+                k = parts[k].around
+    out: list[bool] = []
+    for p in parts:  # those around come first
+        kept = not apart and not p.comments and (p.article or (2 * p.plain > total and not any(q.article for q in parts)))
+        out.append(not kept or (p.around >= 0 and out[p.around]))
+    return out
+
+
 def blocks(html: str) -> tuple[list[Block], bool]:
     """The page's blocks that have words, and whether it has an article."""
     out: list[Block] = []
     stack: list[Open] = []
     places: dict[str, list[int]] = {}  # by tag: where in the stack it is open; so that closing tags need no search
     page = Open("")
-    holds = (False, False, False)
-    has_article = False
+    holds = (False, False, False, -1)
+    has_article = apart = False
+    parts: list[Part] = []
     links, now, at, skip_to = 0, Block(*holds), 0, None
 
     def end_block() -> Block:
@@ -214,29 +280,49 @@ def blocks(html: str) -> tuple[list[Block], bool]:
             up = stack[-1] if stack else page
             main = name in MAIN
             has_article |= main
-            off = up.aside or (name in ASIDE and not (name == "header" and up.in_article)) or (bool(attributes) and _names_aside(attributes, up.in_article) and name not in ("html", "body"))
+            off = up.aside or (name in ASIDE and not (name == "header" and up.in_article))
+            part, names = up.part, _named(attributes, up.in_article) if attributes and name not in ("html", "body") else None
+            if main and not off:
+                apart |= part < 0 and not names
+                k = part
+                while k >= 0 and not parts[k].article:
+                    parts[k].article = True
+                    k = parts[k].around
+            if names:
+                parts.append(Part(part, bool(names & COMMENTS), main and not off))
+                part = len(parts) - 1
             paragraph = len(stack) if name == "p" else up.paragraph if inline else -1
             places.setdefault(name, []).append(len(stack))
-            stack.append(Open(name, off, up.in_form or name == "form", up.in_article or main, paragraph))
+            stack.append(Open(name, off, up.in_form or name == "form", up.in_article or main, part, paragraph))
             links += name == "a"
         was, top = holds, stack[-1] if stack else page
-        holds = (top.aside, top.in_form, top.in_article)
+        holds = (top.aside, top.in_form, top.in_article, top.part)
         if not inline or was != holds:
             now = end_block()
     if skip_to is None and at < len(html):
         now.pieces.append(unescape(html[at:]))
     end_block()
+    gone = _dropped(parts, out, apart)
+    for b in out:
+        b.aside |= b.part >= 0 and gone[b.part]
     return out, has_article
 
 
 def extract(html: str | None) -> str:
     """The main text: its blocks joined by newlines."""
     found, has_article = blocks(html or "")
-    judge, none, kept = tree().judge, (0, 0.0), []
-    sizes = [none, *((b.words, b.links) for b in found), none]
-    for i, b in enumerate(found):
-        if judge((b.aside, b.in_form, b.in_article, has_article, *sizes[i + 1], *sizes[i], *sizes[i + 2])):
-            kept.append(b.text)
+    judge, none, kept, i = tree().judge, (0, 0.0), [], 0
+    size = lambda k: (found[k].words, found[k].links) if 0 <= k < len(found) else none
+    while i < len(found):
+        b, j = found[i], i + 1
+        context = (b.aside, b.in_form, b.in_article)
+        run = b.links >= LINKS
+        while run and j < len(found) and found[j].links >= LINKS and (found[j].aside, found[j].in_form, found[j].in_article) == context:
+            j += 1
+        words = sum(x.words for x in found[i:j]) / (j - i)
+        if judge((*context, has_article, words, b.links, *size(i - 1), *size(j), (j - i) * run)):
+            kept += [x.text for x in found[i:j]]
+        i = j
     return "\n".join(kept)
 
 

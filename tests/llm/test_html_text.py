@@ -97,3 +97,40 @@ def test_many_unmatched_tags_take_linear_time():
     for html in ("<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<p>" + "<b>" * 20_000 + "<div></div>" * 20_000):
         html_text.extract(html)
     assert time.perf_counter() - began < 15
+
+
+def test_a_name_drops_a_part_only_as_a_whole_word():
+    text = " ".join(["word"] * 40)
+    for name in ("layout with-sidebar", "post no-comments", "ad-free", "related-work", "has-sidebar", "no-ads", "adventure", "navy", "socially", "without-header"):
+        for tag in ("div", "article", "section"):
+            assert html_text.extract(f'<body><{tag} class="{name}"><p>{text}</p><p>{text}</p></{tag}></body>') == f"{text}\n{text}", (name, tag)
+    for name in ("ad", "ad-slot", "Sidebar", "site-footer", "cookie_notice", "main-nav", "comments-area", "related-posts", "x comment-list y", "social-links", "post-comments", "ad ad-free"):
+        assert html_text.extract(f'<body><article><p>{text}</p><div class="{name}"><p>{text} gone</p></div></article></body>') == text, name
+
+
+def test_a_name_never_drops_the_article():
+    text = " ".join(["word"] * 40)
+    assert html_text.extract(f'<body><div class="banner"><article><p>{text}</p></article></div></body>') == text
+    assert html_text.extract(f'<body><article class="widget"><p>{text}</p><div class="ad">x</div></article></body>') == text
+    assert html_text.extract(f'<body><div id="header"><p>{text}</p><p>{text}</p></div><div class="ad">Buy</div><div>{text}</div></body>').startswith(f"{text}\n{text}")
+    comments = "".join(f'<article class="comment"><p>{text} reader</p></article>' for _ in range(9))
+    assert html_text.extract(f'<body><article><p>{text}</p></article><div id="comments">{comments}</div></body>') == text
+    assert html_text.extract(f'<body><article><p>{text}</p><div class="sidebar"><article><p>{text} teaser</p></article></div></article></body>') == text
+    assert html_text.extract(f'<body><nav class="x"><article>{text}</article></nav></body>') == ""
+
+
+def test_a_run_of_links_goes_or_stays_as_one():
+    text, menu = " ".join(["word"] * 40), [f"Item {i}" for i in range(6)]
+    links = "".join(f'<li><a href="#">{x}</a></li>' for x in menu)
+    for tag in ("article", "main"):
+        assert html_text.extract(f"<{tag}><p>{text}</p><ul>{links}</ul><p>{text}</p></{tag}>") == "\n".join([text, *menu, text])
+        assert html_text.extract(f"<{tag}><ul>{links}</ul><p>{text}</p></{tag}>") == text
+        assert html_text.extract(f"<{tag}><p>{text}</p><ul>{links}</ul></{tag}>") == text
+        assert html_text.extract(f'<{tag}><p>{text}</p><p><a href="#">one link</a></p></{tag}>') == f"{text}\none link"
+    rnd = random.Random(3)
+    for _ in range(300):  # whatever stands around it
+        n = rnd.randint(1, 9)
+        around = ["".join(f"<p>{'w ' * rnd.randint(1, 50)}</p>" for _ in range(rnd.randint(0, 3))) for _ in "ab"]
+        run = "".join(f'<li><a href="#">run{i} {"x " * rnd.randint(0, 9)}</a></li>' for i in range(n))
+        got = html_text.extract(f"<body><{(t := rnd.choice(['article', 'div', 'main', 'form']))}>{around[0]}<ul>{run}</ul>{around[1]}</{t}></body>")
+        assert sum(f"run{i}" in got for i in range(n)) in (0, n)
