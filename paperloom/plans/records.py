@@ -10,7 +10,8 @@ from paperloom.operators import records as R
 from paperloom.plans import chains
 from paperloom.plans.adapters import ANN, KB_FLAT, annotations, knowledge, table
 from paperloom.plans.registry import query
-from paperloom.sources import readers
+from paperloom.sources import folders, readers
+from paperloom.streaming import batches, cache_state, ingest
 
 _PASSAGE = f"{ANN}, pa AS (SELECT *, pos % 2 passage_idx FROM ann)"
 
@@ -195,3 +196,33 @@ def publication_by_id(spark, d):
     from paperloom.plans.adapters import publications
 
     return readers.publication(publications(spark, d), "7").select("pmid", "title")
+
+
+@query("stream_annotations", f"""WITH {ANN} SELECT pmid, CASE WHEN CAST(pmid AS BIGINT) % 97 > 0 THEN ann_id END ann_id, CASE WHEN CAST(pmid AS BIGINT) % 97 > 0 THEN "type" END "type",
+  CASE WHEN CAST(pmid AS BIGINT) % 97 > 0 THEN CAST(pos AS INTEGER) END pos, CASE WHEN CAST(pmid AS BIGINT) % 97 > 0 THEN 'stored' WHEN CAST(pmid AS BIGINT) % 2 = 0 THEN 'no record' ELSE 'no known envelope' END state FROM ann
+  QUALIFY CAST(pmid AS BIGINT) % 97 > 0 OR row_number() OVER (PARTITION BY pmid) = 1""")
+def stream_annotations(spark, d):
+    """Exports of all orders, some of them cut off or in an unknown form, written as files and brought in by a stream."""
+    at = folders.fresh(spark, "ingest")
+    bad = F.col("pmid").cast("long") % 97 == 0
+    one = F.struct(F.col("ann_id").alias("id"), F.col("label").alias("text"), F.create_map(F.lit("type"), "type", F.lit("identifier"), "identifier").alias("infons"), F.array(F.struct(F.col("pos").cast("int").alias("offset"), F.lit(1).alias("length"))).alias("locations"))
+    docs = annotations(spark, d).groupBy("pmid").agg(F.collect_list(one).alias("annotations"))
+    doc = F.array(F.struct(F.col("pmid").alias("id"), F.array(F.struct(F.lit(0).alias("offset"), F.lit("t").alias("text"), "annotations")).alias("passages")))
+    line = F.when(~bad, F.to_json(F.struct(doc.alias("documents")))).when(F.col("pmid").cast("long") % 2 == 0, F.concat(F.lit('{"documents": [{"id": "'), "pmid", F.lit('", "pass'))).otherwise(F.to_json(F.struct(doc.alias("other"))))
+    docs.select(line.alias("value")).write.text(f"{at}/source")
+    ingest.ingest(spark, f"{at}/source", f"{at}/store", f"{at}/checkpoint", per_trigger=3)
+    good = ingest.stored(spark, f"{at}/store", "annotations").select("pmid", "ann_id", "type", "pos", F.lit("stored").alias("state"))
+    rejected = ingest.stored(spark, f"{at}/store", "rejected").select(F.regexp_extract("value", r'"id": ?"(\d+)"', 1).alias("pmid"), F.col("reason").alias("state"))
+    return good.unionByName(rejected, allowMissingColumns=True)
+
+
+@query("stream_ttl_cache", """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i FROM events),
+  n AS (SELECT user_id, i, min(i) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS FOLLOWING AND UNBOUNDED FOLLOWING) nxt FROM e),
+  c AS (SELECT user_id, CAST(1 AS BIGINT) i FROM e WHERE i = 1 UNION ALL SELECT n.user_id, n.nxt FROM c JOIN n ON c.user_id = n.user_id AND c.i = n.i WHERE n.nxt IS NOT NULL),
+  m AS (SELECT e.*, max(c.i) OVER (PARTITION BY e.user_id ORDER BY e.i) held FROM e LEFT JOIN c ON e.user_id = c.user_id AND e.i = c.i)
+  SELECT m.event_id, CASE WHEN m.i = m.held THEN 'miss' ELSE 'hit' END state, round(s.value, 6) "value" FROM m JOIN e s ON s.user_id = m.user_id AND s.i = m.held""")
+def stream_ttl_cache(spark, d):
+    at = folders.fresh(spark, "cache")
+    requests = batches.events_stream(spark, f"{d.rstrip('/')}/events.parque[t]", per_trigger=1000).select(F.col("user_id").alias("key"), F.col("event_id").alias("number"), F.col("ts").alias("at"), "value")
+    cache_state.started(spark, requests, f"{at}/answers", f"{at}/checkpoint", 86_400, "30 days").awaitTermination()
+    return spark.read.schema(cache_state.ANSWER).parquet(f"{at}/answers").select(F.col("number").alias("event_id"), "state", F.round("value", 6).alias("value"))
