@@ -175,12 +175,13 @@ def cache_entries(df: DataFrame, entry: str, schema: str, ttl: float, now: Colum
     return df.withColumn("state", state).withColumn("value", F.when(F.col("state") == "hit", got["value"]))
 
 
-def retried(call: Callable, times: int = 3, wait: float = 1.0, growing: bool = False, sleep: Callable[[float], None] = time.sleep):
-    """``call()``, again after a failure, ``times`` times in all; it waits as long each time, or longer each time with ``growing``."""
+def retried(call: Callable, times: int = 3, wait: float = 1.0, growing: bool = False, sleep: Callable[[float], None] = time.sleep, on: tuple[type[Exception], ...] = (OSError,)):
+    """``call()``, again after a failure of the kinds ``on`` (of the network and of files), ``times`` times in all; it waits as long each time, or
+    longer each time with ``growing``. Other errors would come again, and go up at once."""
     for n in range(1, times + 1):
         try:
             return call()
-        except Exception:
+        except on:
             if n == times:
                 raise
             sleep(wait * n if growing else wait)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import llm_json as J
 from paperloom.functions import text as T
-from paperloom.operators import vectors
+from paperloom.operators import prompt_cache, vectors
 from paperloom.plans.scoring import Embedder, HashEmbedder, embedded
 
 PROMPT = "Variant: {variant}\nEntities: {entities}\nPassage: {passage}"
@@ -44,13 +44,15 @@ def completed(df: DataFrame, prompt: str = "prompt", make: Callable[[], Model] =
     return df.mapInPandas(run, f"{ddl}, answer string")
 
 
-def related(pairs: DataFrame, keys: list[str], make: Callable[[], Model] = PassageModel, least: int = 6) -> DataFrame:
+def related(pairs: DataFrame, keys: list[str], make: Callable[[], Model] = PassageModel, least: int = 6, cache: str | None = None) -> DataFrame:
     """Accepted relationships of (keys, variant, entity, passage): one prompt for each variant of a passage, asked once for equal
-    prompts; its answer is repaired and parsed, and what the model accepts with ``least`` or more is merged back with the pairs."""
+    prompts; its answer is repaired and parsed, and what the model accepts with ``least`` or more is merged back with the pairs.
+    With ``cache``, the folder of a prompt cache, only prompts that no run before has asked go to the model."""
     asked = pairs.groupBy(*keys, "variant", "passage").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
     prompt = F.concat(F.lit("Variant: "), "variant", F.lit("\nEntities: "), F.array_join("entities", "|"), F.lit("\nPassage: "), "passage")
     asked = asked.withColumn("prompt", prompt).drop("entities", "passage")
-    answers = completed(asked.select("prompt").distinct(), make=make).select("prompt", F.explode(J.relationships(F.col("answer"))).alias("r"))
+    prompts, complete = asked.select("prompt").distinct(), lambda df: completed(df, make=make)
+    answers = (prompt_cache.answered(prompts, cache, complete, make.__name__) if cache else complete(prompts)).select("prompt", F.explode(J.relationships(F.col("answer"))).alias("r"))
     told = asked.join(answers, "prompt").select(*keys, "variant", F.col("r.entity_text").alias("entity"), F.col("r.relationship_score").cast("int").alias("score"), F.col("r.has_relationship").alias("ok"))
     told = told.where(F.col("ok") & (F.col("score") >= least)).dropDuplicates([*keys, "variant", "entity"]).drop("ok")
     return pairs.join(told, [*keys, "variant", "entity"])

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import xml as XML
-from paperloom.operators import cooccurrence
+from paperloom.operators import cooccurrence, prompt_cache
 from paperloom.operators import records as R
 from paperloom.plans import chains
 from paperloom.plans.adapters import ANN, KB_FLAT, annotations, knowledge, table
 from paperloom.plans.registry import query
-from paperloom.sources import folders, readers
+from paperloom.sources import folders, readers, service
 from paperloom.streaming import batches, cache_state, ingest
 
 _PASSAGE = f"{ANN}, pa AS (SELECT *, pos % 2 passage_idx FROM ann)"
@@ -185,6 +185,24 @@ def llm_chain(spark, d):
     return chains.related(e, ["event_id"]).select("event_id", "variant", "entity", "score")
 
 
+class _Silent(chains.PassageModel):
+    def complete(self, prompt: str) -> str:
+        raise AssertionError("a prompt of an earlier run was asked again")
+
+
+_Silent.__name__ = "PassageModel"  # the same model to the cache
+
+
+@query("llm_chain_cached", f"WITH {_PAIRS} SELECT event_id, variant, entity, 10 score FROM p WHERE contains(passage, variant) AND contains(passage, entity)")
+def llm_chain_cached(spark, d):
+    """The chain twice, with a compaction of the cache between; the second run's model fails if it is asked at all."""
+    at = folders.fresh(spark, "prompts")
+    e = table(spark, d, "events").selectExpr("event_id", "event_type AS variant", "concat('e', user_id % 5) AS entity", "concat('seen ', CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END, ' with e1 and e', event_id % 7) AS passage")
+    chains.related(e, ["event_id"], cache=at)
+    prompt_cache.compacted(spark, at)
+    return chains.related(e, ["event_id"], _Silent, cache=at).select("event_id", "variant", "entity", "score")
+
+
 @query("kb_ids_by_gene", f"WITH {KB_FLAT}, i AS (SELECT s_name symbol FROM supplier WHERE s_suppkey % 3 = 0) SELECT DISTINCT symbol, kb_id FROM kbf JOIN i USING (symbol)")
 def kb_ids_by_gene(spark, d):
     wanted = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("symbol")).distinct()
@@ -198,6 +216,13 @@ def publication_by_id(spark, d):
     return readers.publication(publications(spark, d), "7").select("pmid", "title")
 
 
+def exports(ann):
+    """pmid, doc: a document in the exchange format for each publication, with its annotations in one passage."""
+    one = F.struct(F.col("ann_id").alias("id"), F.col("label").alias("text"), F.create_map(F.lit("type"), "type", F.lit("identifier"), "identifier").alias("infons"), F.array(F.struct(F.col("pos").cast("int").alias("offset"), F.lit(1).alias("length"))).alias("locations"))
+    docs = ann.groupBy("pmid").agg(F.collect_list(one).alias("annotations"))  # a publication's own
+    return docs.select("pmid", F.struct(F.col("pmid").alias("id"), F.array(F.struct(F.lit(0).alias("offset"), F.lit("t").alias("text"), "annotations")).alias("passages")).alias("doc"))
+
+
 @query("stream_annotations", f"""WITH {ANN} SELECT pmid, CASE WHEN CAST(pmid AS BIGINT) % 97 > 0 THEN ann_id END ann_id, CASE WHEN CAST(pmid AS BIGINT) % 97 > 0 THEN "type" END "type",
   CASE WHEN CAST(pmid AS BIGINT) % 97 > 0 THEN CAST(pos AS INTEGER) END pos, CASE WHEN CAST(pmid AS BIGINT) % 97 > 0 THEN 'stored' WHEN CAST(pmid AS BIGINT) % 2 = 0 THEN 'no record' ELSE 'no known envelope' END state FROM ann
   QUALIFY CAST(pmid AS BIGINT) % 97 > 0 OR row_number() OVER (PARTITION BY pmid) = 1""")
@@ -205,10 +230,8 @@ def stream_annotations(spark, d):
     """Exports of all orders, some of them cut off or in an unknown form, written as files and brought in by a stream."""
     at = folders.fresh(spark, "ingest")
     bad = F.col("pmid").cast("long") % 97 == 0
-    one = F.struct(F.col("ann_id").alias("id"), F.col("label").alias("text"), F.create_map(F.lit("type"), "type", F.lit("identifier"), "identifier").alias("infons"), F.array(F.struct(F.col("pos").cast("int").alias("offset"), F.lit(1).alias("length"))).alias("locations"))
-    docs = annotations(spark, d).groupBy("pmid").agg(F.collect_list(one).alias("annotations"))
-    doc = F.array(F.struct(F.col("pmid").alias("id"), F.array(F.struct(F.lit(0).alias("offset"), F.lit("t").alias("text"), "annotations")).alias("passages")))
-    line = F.when(~bad, F.to_json(F.struct(doc.alias("documents")))).when(F.col("pmid").cast("long") % 2 == 0, F.concat(F.lit('{"documents": [{"id": "'), "pmid", F.lit('", "pass'))).otherwise(F.to_json(F.struct(doc.alias("other"))))
+    docs = exports(annotations(spark, d))
+    line = F.when(~bad, F.to_json(F.struct(F.array("doc").alias("documents")))).when(F.col("pmid").cast("long") % 2 == 0, F.concat(F.lit('{"documents": [{"id": "'), "pmid", F.lit('", "pass'))).otherwise(F.to_json(F.struct(F.array("doc").alias("other"))))
     docs.select(line.alias("value")).write.text(f"{at}/source")
     ingest.ingest(spark, f"{at}/source", f"{at}/store", f"{at}/checkpoint", per_trigger=3)
     good = ingest.stored(spark, f"{at}/store", "annotations").select("pmid", "ann_id", "type", "pos", F.lit("stored").alias("state"))
@@ -226,3 +249,14 @@ def stream_ttl_cache(spark, d):
     requests = batches.events_stream(spark, f"{d.rstrip('/')}/events.parque[t]", per_trigger=1000).select(F.col("user_id").alias("key"), F.col("event_id").alias("number"), F.col("ts").alias("at"), "value")
     cache_state.started(spark, requests, f"{at}/answers", f"{at}/checkpoint", 86_400, "30 days").awaitTermination()
     return spark.read.schema(cache_state.ANSWER).parquet(f"{at}/answers").select(F.col("number").alias("event_id"), "state", F.round("value", 6).alias("value"))
+
+
+@query("service_annotations", f"WITH {ANN} SELECT pmid, ann_id, \"type\", CAST(pos AS INTEGER) pos FROM ann WHERE \"type\" IN ('Gene', 'Disease')")
+def service_annotations(spark, d):
+    """Genes and diseases of all orders, asked of a service in requests of a hundred ids; the types are pushed down to it."""
+    at = folders.fresh(spark, "service")
+    service.export(exports(annotations(spark, d)).select("pmid", F.to_json("doc").alias("value")), f"{at}/store")
+    service.write_ids(table(spark, d, "orders").select(F.col("o_orderkey").alias("pmid")), f"{at}/ids")
+    service.register(spark)
+    got = spark.read.format("publications").options(store=f"{at}/store", buckets="64", ids_path=f"{at}/ids").load()
+    return got.where("type IN ('Gene', 'Disease')").select("pmid", "ann_id", "type", "pos")
