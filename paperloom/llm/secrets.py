@@ -213,10 +213,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]], writing: Writing) -> Iterator[tuple[int, int, int, int, str, dict[str, int]]]:
-    """start, end, length class, bin of the p-value, characters and their ranks, of each run outside the base spans."""
+    """start, end, length class, bin of the p-value, characters and their ranks, of each run outside the base spans; both come in order."""
+    i, reach = 0, 0  # base spans that begin before the run's end, and the furthest end of these
     for m in CANDIDATE.finditer(text):
         s = m[0].rstrip("=")
-        if any(a < m.end() and m.start() < b for a, b, _ in base):
+        while i < len(base) and base[i][0] < m.end():
+            reach = max(reach, base[i][1])
+            i += 1
+        if reach > m.start():
             continue
         if e := infer(s):
             yield m.start(), m.end(), length_class(len(s)), bin_of(writing.p_value(s, *e)), s, e[1]

@@ -205,3 +205,24 @@ def test_only_the_intersection_finds_the_anchors(spark):
     assert [got[i][0] for i in range(12)] == [0] * 10 + [10, 10]
     # Words of equal counts are anchors in their order, so the first three are; with one of them lost there is no proximity match.
     assert [got[i][1] for i in range(12)] == [0] * 3 + [1] * 9
+
+
+def test_runs_and_many_base_spans_are_merged_in_order():
+    import time
+
+    rnd = random.Random(6)
+    uniform = secrets.Writing.learn(np.zeros((128, 128), dtype=np.int64))
+    for _ in range(200):
+        text = "".join(rnd.choice([" ", "\n", "token=abcdefabcdef0123 ", "AKIA" + "Z9" * 10, "deadbeefdeadbeef00", "QwErTyUiOpAsDfGh12", "secret: ", "x", "==", "token=" + "Ab1" * 9]) for _ in range(rnd.randint(1, 25)))
+        base = secrets.base_spans(text)
+        got = [(a, b) for a, b, *_ in secrets.candidates(text, base, uniform)]
+        plain = [(m.start(), m.end()) for m in secrets.CANDIDATE.finditer(text) if secrets.infer(m[0].rstrip("=")) and not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        assert got == plain, text
+    many = "".join(f"token=abcdefabcdef{i:04d} " + "Zq9" * 7 + f"{i:04d} " for i in range(8000))
+    base = secrets.base_spans(many)
+    began = time.perf_counter()
+    found = sum(1 for _ in secrets.CANDIDATE.finditer(many))
+    alone = time.perf_counter() - began
+    began = time.perf_counter()
+    kept = sum(1 for _ in secrets.candidates(many, base, uniform))
+    assert len(base) >= 8000 and found >= 16_000 and kept == 8000 and time.perf_counter() - began < 60 * alone + 2
