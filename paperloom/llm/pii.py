@@ -166,8 +166,9 @@ def disclosures(docs: DataFrame, found: DataFrame, t: Thresholds) -> DataFrame:
     if not n:
         return pairs.select("entity", "form", F.lit(0.0).alias("disclosure"))
     forms = F.broadcast(forms) if n <= t.broadcast_terms else forms
-    words = docs.select(F.explode(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("word"))
-    counts = words.select(F.explode(_forms(_plain(F.col("word")))).alias("form")).join(forms, "form").groupBy("form").agg(F.count("*").alias("n_term"))
+    # Words are counted as they stand; only different ones get lower case, lose their signs and have forms.
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = words.select("n", F.explode(_forms(_plain(ascii_lower("word")))).alias("form")).join(forms, "form").groupBy("form").agg(F.sum("n").alias("n_term"))
     total = found.agg(F.sum("n_chars")).first()[0]  # places where a window can be
     p = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     rate = F.col("n_entity") / F.lit(float(max(total, 2)))
@@ -189,12 +190,16 @@ def revealing(docs: DataFrame, found: DataFrame, t: Thresholds) -> DataFrame:
 
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, _t, terms: spans (start, k, end, value: what takes their place) of revealing terms in texts that hold the entity."""
-    holders = found.where("size(spans) > 0").select(*KEY, "text", F.explode("spans").alias("s"))
-    holders = holders.select(*KEY, "text", F.concat_ws(":", F.col("s.k").cast("string"), F.lower("s.value")).alias("entity"))
+    holders = found.where("size(spans) > 0").select(*KEY, F.explode("spans").alias("s"))
+    holders = holders.select(*KEY, F.concat_ws(":", F.col("s.k").cast("string"), F.lower("s.value")).alias("entity")).distinct()
     # Of what several entities ask for a term, the most general form holds, and removal before all.
     rank = F.struct(F.col("to").isNull().alias("none"), (-F.length("to")).alias("n"), F.coalesce("to", F.lit("")).alias("to"))
-    told = holders.join(terms, "entity").groupBy(*KEY, "term").agg(F.first("text").alias("text"), F.max(rank).alias("to"))
-    told = told.groupBy(*KEY).agg(F.first("text").alias("text"), F.map_from_entries(F.collect_list(F.struct("term", "to.to"))).alias("wanted"))
+    told = holders.join(terms, "entity").groupBy(*KEY, "term").agg(F.max(rank).alias("to"))
+    told = told.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("term", "to.to"))).alias("wanted")).alias("t")
+    # Keys only have come so far; now each text once, of repeated rows one.
+    texts = found.where("size(spans) > 0").select(*KEY, "text").alias("f")
+    held = texts.join(told, F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f._t") == F.col("t._t")))
+    told = held.select("f.doc_id", "f._t", "text", "wanted").dropDuplicates(list(KEY))
     gaps = F.split("text", r"[^\x20\x09-\x0D]+", -1)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     each = told.select(*KEY, "wanted", F.posexplode(F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.struct(F.length(g).alias("g"), w.alias("w")))).alias("i", "x"))
