@@ -8,7 +8,7 @@ from paperloom.functions import llm_json as J
 from paperloom.functions import text as T
 from paperloom.functions import xml as X
 from paperloom.functions.similarity import text_ratio, text_similar, text_similar_rules
-from paperloom.operators import cache
+from paperloom.operators import cache, similar
 from paperloom.plans.adapters import NOTE, notated, table
 from paperloom.plans.registry import query
 
@@ -269,12 +269,33 @@ def ner_clean(spark, d):
 def _names(spark, d):
     """All pairs of distinct names."""
     a = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
-    return a.crossJoin(F.broadcast(a.select(F.col("a").alias("b"))))
+    return a.crossJoin(a.select(F.col("a").alias("b")))  # every pair is a row of the result
 
 
 for _n, _fn in (("text_ratio", text_ratio), ("text_similar", text_similar), ("text_similar_rules", text_similar_rules)):
     query(_n)(lambda spark, d, fn=_fn: _names(spark, d).select("a", "b", fn("a", "b").alias("y")))
 
+
+def _all_names(spark, d):
+    """Names of parts, their types and brands, nations and regions, as a and as b."""
+    from functools import reduce
+
+    of = lambda t, c: table(spark, d, t).select(F.col(c).alias("a"))
+    a = reduce(lambda x, y: x.unionByName(y), [of("part", "p_name"), of("part", "p_type"), of("part", "p_brand"), of("nation", "n_name"), of("region", "r_name")])
+    return a, a.withColumnRenamed("a", "b")
+
+
+@query("similar_names")
+def similar_names(spark, d):
+    """All pairs of different spellings with their ratio, found by a join on rare characters."""
+    return similar.similar(*_all_names(spark, d)).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+@query("similar_names_by_rules")
+def similar_names_by_rules(spark, d):
+    return similar.similar_by_rules(*_all_names(spark, d))
+
+
 _JSON = """concat('Answer: {"a": ', event_id, CASE WHEN event_id % 3 = 0 THEN ', }' ELSE ' }' END, ' done')"""
 _f, _c = made("m", _JSON, _JSON)
 scalar("json_slice", _f, _c, J.sliced, r"CASE WHEN regexp_extract(x, '(?s)(\{.*\})', 1) = '' THEN '{}' ELSE regexp_extract(x, '(?s)(\{.*\})', 1) END")
