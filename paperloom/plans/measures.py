@@ -10,10 +10,12 @@ from paperloom.operators import cache
 from paperloom.operators import evaluation as E
 from paperloom.operators import knowledge as K
 from paperloom.operators import relationships as R
+from paperloom.operators import vector_index
 from paperloom.operators import vectors as V
 from paperloom.operators.numbering import numbered
 from paperloom.plans.adapters import ANN, KB_FLAT, PRED, annotations, knowledge, predictions, table
 from paperloom.plans.registry import query
+from paperloom.sources import folders
 from paperloom.streaming import batches as S
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -377,6 +379,16 @@ query("knn_cosine", _KNN.format(f="list_cosine_similarity", o="DESC"))(_knn("cos
 query("knn_l2", _KNN.format(f="list_distance", o=""))(_knn("l2"))
 
 
+@query("knn_indexed")
+def knn_indexed(spark, d):
+    """As ``knn_cosine``, by the index; tests hold its recall against that."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    at, index = folders.fresh(spark, "vectors"), vector_index.fit(e, k=5)
+    vector_index.write(e, index, at)
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_index.search(spark, at, index, queries, 5).select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))
+
+
 @query("cache_latest", "SELECT user_id, arg_max(value, (ts, event_id)) value, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') ts FROM events GROUP BY user_id")
 def cache_latest(spark, d):
     return cache.latest(table(spark, d, "events"), "user_id", "ts", "event_id", "value").select("user_id", "value", F.date_format("ts", STAMP).alias("ts"))
