@@ -48,3 +48,30 @@ def entity_stats(ann: DataFrame) -> DataFrame:
     """For each document the number of entities in each category, one column each."""
     categories = ("variant", "gene", "disease", "tissue", "species", "chemical")
     return ann.groupBy("pmid").agg(*[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in categories])
+
+
+def content_info(docs: DataFrame, ann: DataFrame) -> DataFrame:
+    """pmid, n_passages, n_annotations and ``by_type`` (a map of counts) of each document (pmid, passages), from its annotations as the reader gives them."""
+    counts = ann.groupBy("pmid", "type").agg(F.count("*").alias("n")).groupBy("pmid").agg(F.sum("n").alias("n_annotations"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))
+    sizes = docs.select("pmid", F.size(F.coalesce("passages", F.array())).alias("n_passages"))
+    return sizes.join(counts, "pmid", "left").select("pmid", "n_passages", F.coalesce("n_annotations", F.lit(0)).cast("long").alias("n_annotations"), "by_type")
+
+
+def passage_counts(ann: DataFrame) -> DataFrame:
+    """Annotations by document, passage and type, and by type over all (pmid and passage_idx null), in one pass."""
+    return ann.groupingSets([["pmid", "passage_idx", "type"], ["type"]], "pmid", "passage_idx", "type").agg(F.count("*").alias("n"))
+
+
+def complete(ann: DataFrame, types: list[str], made: str) -> DataFrame:
+    """pmid, expected (annotations of the types), made (those of them for which ``made`` holds), status: OK or missing."""
+    wanted = ann.where(F.col("type").isin(types)).groupBy("pmid").agg(F.count("*").alias("expected"), F.count_if(made).alias("made"))
+    return wanted.withColumn("status", F.when(F.col("expected") == F.col("made"), "OK").otherwise("missing"))
+
+
+def context(docs: DataFrame, ann: DataFrame) -> DataFrame:
+    """pmid, title and abstract (the first passage of each kind) and a list of the distinct labels of each category, empty if there are none."""
+    of = lambda kind: F.get(F.transform(F.filter("passages", lambda p: p["infons"]["type"] == kind), lambda p: p["text"]), F.lit(0))
+    by = ann.groupBy("pmid").agg(*[F.array_sort(F.collect_set(F.when(F.lower("type").isin([t.lower() for t, c in CATEGORY_OF_TYPE.items() if c == kind]), F.col("label")))).alias(kind) for kind in sorted(set(CATEGORY_OF_TYPE.values()))])
+    kinds = [c for c in by.columns if c != "pmid"]
+    met = docs.select("pmid", of("title").alias("title"), of("abstract").alias("abstract")).join(by, "pmid", "left")
+    return met.select("pmid", "title", "abstract", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in kinds])

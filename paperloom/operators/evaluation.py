@@ -55,3 +55,36 @@ def accuracy_by_overlap(predicted: DataFrame, truth: DataFrame, key: str, value:
     t = truth.groupBy(key).agg(F.collect_set(value).alias("t"))
     met = p.join(t, key).agg(F.count("*").alias("common"), F.count_if(F.arrays_overlap("p", "t")).alias("right"))
     return met.withColumn("percent", ratio(100 * F.col("right"), F.col("common"), 4))
+
+
+def rolled_up(rows: DataFrame, key: str, sets: dict[str, Column], firsts: dict[str, Column], order: Column) -> DataFrame:
+    """One row for each key that isn't null: of each of ``sets`` the distinct values, sorted and joined by "; " (empty if there are none), and of each
+    of ``firsts`` the first value by ``order`` that isn't null. Distinct values are taken before rows meet; a key's joined values are one string."""
+    each = rows.where(F.col(key).isNotNull())
+    joined = [F.array_join(F.array_sort(F.collect_set(c.cast("string"))), "; ").alias(name) for name, c in sets.items()]
+    first = [F.min_by(c, F.when(c.isNotNull(), order)).alias(name) for name, c in firsts.items()]
+    return each.groupBy(key).agg(*joined, *first)
+
+
+def coverages(predicted: DataFrame, truth: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``coverage`` of each column under its name, over one aggregate of both sides."""
+    kinds = lambda df, side: df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("what"), F.col(c).cast("string").alias("value")) for name, c in columns.items()])).alias("x")).select("x.*", F.lit(side).alias("side"))
+    rows = kinds(predicted, 1).unionByName(kinds(truth, 2)).where("value IS NOT NULL")
+    met = rows.groupBy("what", "value").agg(F.bool_or(F.col("side") == 1).alias("p"), F.bool_or(F.col("side") == 2).alias("t"))
+    counts = met.groupBy("what").agg(F.count_if(F.col("p") & F.col("t")).alias("covered"), F.count_if("t").alias("total"))
+    return counts.select("what", "covered", "total", ratio(100 * F.col("covered"), F.col("total"), 4).alias("percent"))
+
+
+def averaged(metrics: DataFrame) -> DataFrame:
+    """Documents, and the means of their precision, recall and F1, where a measure that isn't defined counts as 0."""
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 6).alias(f"mean_{c}")
+    return metrics.agg(F.count("*").alias("documents"), *[mean(c) for c in ("precision", "recall", "f1")])
+
+
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """``edges``: kind_a, a, kind_b, b. Distinct undirected edges by the kinds of their ends, and their distinct ends."""
+    left, right = (F.concat_ws(":", f"kind_{x}", x) for x in "ab")
+    kinds = F.array_join(F.array_sort(F.array("kind_a", "kind_b")), "-")
+    flat = edges.select(kinds.alias("kinds"), F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct()
+    nodes = flat.select("kinds", F.explode(F.array("a", "b")).alias("node")).groupBy("kinds").agg(F.count_distinct("node").alias("nodes"))
+    return flat.groupBy("kinds").agg(F.count("*").alias("edges")).join(nodes, "kinds")

@@ -185,3 +185,56 @@ def retried(call: Callable, times: int = 3, wait: float = 1.0, growing: bool = F
             if n == times:
                 raise
             sleep(wait * n if growing else wait)
+
+
+def ids_checked(ids: DataFrame, column: str) -> DataFrame:
+    """The ids as they are; the job fails if there are none or one isn't a natural number."""
+    wrong = F.concat(F.lit("no natural number: "), F.coalesce(column, F.lit("null")))
+    checked = ids.withColumn(column, F.when(F.coalesce(F.col(column).rlike("^[0-9]+$"), F.lit(False)), F.col(column)).otherwise(F.raise_error(wrong)))
+    if ids.isEmpty():
+        raise ValueError("the list of ids is empty")
+    return checked
+
+
+def kb_by_id(ids: DataFrame, answers: DataFrame) -> DataFrame:
+    """kb_id, name, significance, genes, phenotypes, source of each id: from its answer (kb_id, answer) read as XML, else as JSON, else a
+    stub that names the id only. ``source`` is xml, json or stub."""
+    as_xml = kb_from_xml(answers.select("kb_id", "answer"), "answer")
+    read = as_xml.select(
+        "kb_id", "answer", "broken", F.col("significance").alias("_xs"), F.col("genes").alias("_xg"), F.transform("traits", lambda t: t["name"]).alias("_xp"), F.from_json("answer", KB_JSON).alias("_j")
+    )
+    j = F.col("_j")
+    is_xml, is_json = ~F.col("broken") & F.col("answer").isNotNull(), j.isNotNull() & j["uid"].isNotNull()
+    met = ids.select("kb_id").distinct().join(read, "kb_id", "left")
+    source = F.when(is_xml, "xml").when(is_json, "json").otherwise("stub")
+    pick = lambda x, y, other: F.when(F.col("source") == "xml", x).when(F.col("source") == "json", y).otherwise(other)
+    none = F.array().cast("array<string>")
+    return met.withColumn("source", F.coalesce(source, F.lit("stub"))).select(
+        "kb_id", F.coalesce(F.when(F.col("source") == "json", j["title"]), F.concat(F.lit("Variant "), "kb_id")).alias("name"),
+        F.coalesce(pick(F.col("_xs"), j["germline_classification"]["description"], F.lit(None)), F.lit("Not provided")).alias("significance"),
+        F.coalesce(pick(F.col("_xg"), F.transform(j["genes"], lambda g: g["symbol"]), none), none).alias("genes"),
+        F.coalesce(pick(F.col("_xp"), F.transform(j["trait_set"], lambda t: t["trait_name"]), none), none).alias("phenotypes"), "source",
+    )
+
+
+def kb_ids(kb: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """value, kb_id: ids of the records with a wanted ``value``, by ``gene`` (any of the record's, whatever its case), ``rs`` (with or without
+    the letters before the number) or ``notation`` (the name without blanks around it)."""
+    number = lambda c: F.regexp_replace(F.lower(F.trim(c)), "^rs", "")
+    how = {
+        "gene": (lambda: kb.select("kb_id", F.explode("genes.symbol").alias("_v")).withColumn("_v", F.lower("_v")), F.lower("value")),
+        "rs": (lambda: kb.select("kb_id", number(F.col("rs")).alias("_v")), number(F.col("value"))),
+        "notation": (lambda: kb.select("kb_id", F.trim("name").alias("_v")), F.trim("value")),
+    }
+    if by not in how:
+        raise ValueError(f"unknown kind {by!r}; gene, rs and notation are known")
+    known, value = how[by]
+    asked = wanted.select("value").where("trim(value) <> ''").distinct().withColumn("_v", value)
+    return asked.join(known().where("_v <> ''").distinct(), "_v").select("value", "kb_id").distinct()
+
+
+def publications_of(variants: DataFrame, links: DataFrame) -> DataFrame:
+    """The variants (variant_id and further columns) with ``pmids`` and ``pmcids``, sorted lists without the publications (variant_id, pmid, pmcid) that lack an id."""
+    each = links.groupBy("variant_id").agg(*[F.array_sort(F.collect_set(c)).alias(f"{c}s") for c in ("pmid", "pmcid")])
+    none = F.array().cast("array<string>")
+    return variants.join(each, "variant_id", "left").select(*variants.columns, *[F.coalesce(c, none).alias(c) for c in ("pmids", "pmcids")])

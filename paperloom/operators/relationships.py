@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +32,17 @@ def merged(found: DataFrame, scored: DataFrame, key: list[str], entity: str) ->
 
 def variant_key(identifier: str, label: str) -> Column:
     return F.coalesce(F.nullif(F.col(identifier), F.lit("")), F.nullif(F.col(label), F.lit("")))
+
+
+def usable(rels: DataFrame, variant: str = "variant", others: tuple[str, ...] = ("gene", "disease")) -> DataFrame:
+    """Relationships that name a variant and at least one of ``others``; an empty string names nothing."""
+    named = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    return rels.where(named(variant) & reduce(or_, [named(c) for c in others]))
+
+
+def reaching(rels: DataFrame, threshold: float | None, scores: tuple[str, ...]) -> DataFrame:
+    """Relationships each of whose score lists is null or has a score that reaches the threshold; a list of no scores reaches none."""
+    out = rels
+    for c in scores:
+        out = out.where(passes(F.col(c), threshold))
+    return out
