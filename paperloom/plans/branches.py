@@ -8,7 +8,7 @@ from paperloom.operators import annotations as A
 from paperloom.operators import evaluation as E
 from paperloom.operators import records as R
 from paperloom.operators import relationships as L
-from paperloom.operators import splitter
+from paperloom.operators import recogniser, splitter
 from paperloom.plans import coordinate_chain
 from paperloom.plans.adapters import ANN, KB_FLAT, NOTE, annotations, knowledge, notated, table
 from paperloom.plans.registry import query
@@ -193,3 +193,12 @@ def chunk_recursive(spark, d):
     """Every document in pieces of at most 2,000 code points that overlap by up to 200."""
     got = splitter.pieces(table(spark, d, "documents").select("doc_id", "text"), 2000, 200)
     return got.select("doc_id", "piece", F.length("text").alias("n_chars"), F.md5("text").alias("y"))
+
+
+@query("entities_recognised")
+def entities_recognised(spark, d):
+    """Names of parts, and the first three words of each benchmark item, in whole documents."""
+    item = F.concat_ws(" ", F.slice(F.split(F.trim("text"), r"\s+"), 1, 3))
+    names = table(spark, d, "part").select(F.col("p_name").alias("name"), F.lit("part").alias("kind")).distinct().unionByName(table(spark, d, "benchmark").select(item.alias("name"), F.lit("item").alias("kind")))
+    got = recogniser.recognised(notated(spark, d), names.unionByName(spark.range(1).select(F.lit("lung development").alias("name"), F.lit("process").alias("kind"))))
+    return got.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.name", "s.kind")
