@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import bind
+
 SCHEMA = "relationships ARRAY<STRUCT<entity_type: STRING, entity_text: STRING, entity_id: STRING, has_relationship: BOOLEAN, relationship_score: INT, explanation: STRING>>"
 
 
@@ -45,15 +47,15 @@ def valid(c: Column) -> Column:
 def repaired(c: Column, cumulative_empty: bool = False) -> Column:
     """The answer's JSON: as it is, or after the four repairs if they make it valid; else as it was, or with
     ``cumulative_empty`` an empty list of relationships. In that mode the first valid state of another order of repairs wins."""
-    s = sliced(c)
     if not cumulative_empty:
-        fixed = double_quotes(quoted_keys(missing_commas(no_trailing_commas(s))))
-        return F.when(valid(s), s).when(valid(fixed), fixed).otherwise(s)
-    out, state = F.when(valid(s), s), s
-    for fix in (double_quotes, no_trailing_commas, missing_commas, quoted_keys):
-        state = fix(state)
-        out = out.when(valid(state), state)
-    return out.otherwise(F.lit('{"relationships": []}'))
+        fixed = lambda s: double_quotes(quoted_keys(missing_commas(no_trailing_commas(s))))
+        return bind(sliced(c), lambda s: F.when(valid(s), s).otherwise(bind(fixed(s), lambda x: F.when(valid(x), x).otherwise(s))))
+
+    def next_state(s: Column, fixes: list) -> Column:
+        rest = F.lit('{"relationships": []}') if not fixes else bind(fixes[0](s), lambda x: next_state(x, fixes[1:]))
+        return F.when(valid(s), s).otherwise(rest)
+
+    return bind(sliced(c), lambda s: next_state(s, [double_quotes, no_trailing_commas, missing_commas, quoted_keys]))
 
 
 def relationships(c: Column) -> Column:

@@ -40,6 +40,11 @@ FULL = (
 )
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row: a lambda's variable isn't written out wherever it stands."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def found(c: Column, patterns: tuple[str, ...], flags: str = "") -> Column:
     """All matches, pattern by pattern, each in the order of the text."""
     c = F.coalesce(c, F.lit(""))
@@ -56,12 +61,15 @@ def combined(*lists: Column) -> Column:
     return F.array_distinct(F.concat(*lists))
 
 
-def hits(c: Column, keywords: tuple[str, ...]) -> Column:
-    """How many of the keywords occur, in any case."""
-    low = F.lower(F.coalesce(c, F.lit("")))
+def _hits(low: Column, keywords: tuple[str, ...]) -> Column:
     return sum((F.contains(low, F.lit(k.lower())).cast("int") for k in keywords[1:]), F.contains(low, F.lit(keywords[0].lower())).cast("int"))
 
 
+def hits(c: Column, *keywords: tuple[str, ...], weights: tuple[int, ...] = (1,)) -> Column:
+    """How many of each group of keywords occur, in any case, by the group's weight. The text goes to lower case once."""
+    return bind(F.lower(F.coalesce(c, F.lit(""))), lambda low: sum((_hits(low, k) * w for k, w in zip(keywords, weights, strict=True)), F.lit(0)))
+
+
 def variants(c: Column, patterns: tuple[str, ...] = VARIANTS_FULL) -> Column:
     return F.array_sort(F.array_distinct(found(c, patterns, "(?i)")))
 
@@ -72,15 +80,15 @@ def genes(c: Column) -> Column:
 
 
 def score_simple(c: Column) -> Column:
-    return hits(c, SIMPLE[0]) * 2 + hits(c, SIMPLE[1]) + hits(c, SIMPLE[2])
+    return hits(c, *SIMPLE, weights=(2, 1, 1))
 
 
 def score_demo(c: Column) -> Column:
-    return hits(c, DEMO[0]) * 3 + hits(c, DEMO[1]) + hits(c, DEMO[2]) * 2 + F.size(variants(c, VARIANTS_DEMO)) * 2
+    return hits(c, *DEMO, weights=(3, 1, 2)) + F.size(variants(c, VARIANTS_DEMO)) * 2
 
 
 def score_full(c: Column) -> Column:
-    return hits(c, FULL[0]) * 3 + hits(c, FULL[1]) + hits(c, FULL[2]) * 2 + hits(c, FULL[3]) + F.size(variants(c)) * 2 + F.size(genes(c))
+    return hits(c, *FULL, weights=(3, 1, 2, 1)) + F.size(variants(c)) * 2 + F.size(genes(c))
 
 
 def parse_coordinates(c: Column) -> Column:
