@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -62,9 +63,12 @@ def removed(df: DataFrame) -> None:
 
 
 def swept(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of finished jobs, which else stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets go of the shuffle files of finished jobs, which else stay until the driver happens to collect its garbage. Plans are let go
+    of by Python first and then by the JVM, whose cleaner runs beside; so it takes two rounds."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def written(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:

@@ -389,6 +389,7 @@ def join(docs: DataFrame, similar: Similarity = Similarity(), key: str = "doc_id
         families = components(edges)
         families = families.select(F.col("node").alias("c"), F.col("root").alias("family")).unionByName(families.select(F.col("root").alias("c"), F.col("root").alias("family")).distinct())
         families = written(families.join(first.select("c", "n", "hash"), "c"), "families")
+        swept(spark)
         sets = written(sets_of(docs, families).dropDuplicates(["c"]), "sets")
         swept(spark)
         roots = links(families.drop("hash"), sets, similar)
