@@ -7,8 +7,8 @@ A text's set is its distinct five-word shingles, as 64-bit hashes; texts with eq
    similarity without them. Two classes that link have postings in common, and so many that with all that was not posted
    they could reach the overlap asked for; pairs from short posting lists are counted and held against that. In long
    lists, runs whose sizes fit connect as a whole. The components of these connections, families, hold all links inside.
-3. A third scan shingles one text of each class in families, which a fixed-size bitmap of text hashes lets through, and a
-   signature tree in each family, joined with itself by dual traversal, finds the links.
+3. A third scan brings one text of each class in families, which a fixed-size bitmap of text hashes lets through, to its
+   family. There it is shingled, and a signature tree, joined with itself by dual traversal, finds the links.
 
 A family of more than ``BLOCK`` shingles is dealt to blocks. Blocks are joined each for itself; then one text for each
 component found; and what still lies outside a family's largest component is joined, in blocks, with all of it. Every pair
@@ -282,9 +282,9 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """c and its set's bytes, for the classes given and few others; one row for each task that has the text. ``classes``: hash of
-    one text of each. Other texts are left out before they are shingled."""
+def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """hash and text of the rows with the hashes given and few others; one row for each task that has the text. ``classes``: hash of
+    one text of each. A text is shorter than its set and, unlike hashes, is compressed on its way."""
     words = classes.select((F.col("hash").bitwiseAND(F.lit(MAP_BITS - 1))).alias("bit"))
     words = words.select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 AS int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
     marks = np.zeros(MAP_BITS // 64, dtype=np.int64)
@@ -294,49 +294,49 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(parts):
         seen: set[int] = set()
-
-        def asked(part):
-            hashes = part.column(3).to_numpy()
+        for part in parts:
+            hashes = part.column(0).to_numpy()
             bit = hashes & (MAP_BITS - 1)
             rows = np.flatnonzero(held.value[bit >> 6] >> (bit & 63) & 1)
             rows = [i for i, h in zip(rows.tolist(), hashes[rows].tolist(), strict=True) if not (h in seen or seen.add(h))]
-            return part.take(pa.array(rows, pa.int64()))
-
-        for _, sets in _scan(map(asked, parts)):
-            sets = [s for s in sets if len(s)]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "members"])
+            if rows:
+                yield part.take(pa.array(rows, pa.int64()))
 
-    return docs.mapInArrow(run, "c long, members binary")
+    return docs.where("text IS NOT NULL").select("hash", "text").mapInArrow(run, "hash long, text string")
 
 
-def _joined(cells: DataFrame, sets: DataFrame, similar: Similarity) -> DataFrame:
-    """u, v: a link from each class to the root that its cell's tree finds. ``cells``: cell columns x, y, z; c; known (its component so far)."""
+def _joined(cells: DataFrame, texts: DataFrame, similar: Similarity) -> DataFrame:
+    """u, v: a link from each class to the root that its cell's tree finds. ``cells``: cell columns x, y, z; c; hash of one of its
+    texts; known (its component so far). Sets are made where a cell is joined, and never travel."""
+    shingler = Shingler()  # one for each task
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("c").sort_values("c")
+        pdf = pdf.drop_duplicates(["c", "text"]).sort_values("c")
         c = pdf["c"].to_numpy(dtype=np.int64)
-        known = pdf["known"].to_numpy(dtype=np.int64)
-        members = [np.frombuffer(m, dtype=np.uint64) for m in pdf["members"]]
-        root = Tree(members, similar.numerator, similar.denominator).linked(known)
+        members = shingler.sets(pdf["text"].tolist())
+        own = np.flatnonzero([class_of(m) == k for m, k in zip(members, c.tolist(), strict=True)])  # not another text of equal hash
+        own = own[np.unique(c[own], return_index=True)[1]]
+        c, known = c[own], pdf["known"].to_numpy(dtype=np.int64)[own]
+        root = Tree([members[i] for i in own.tolist()], similar.numerator, similar.denominator).linked(known)
         ok = root != np.arange(len(root))
         return pd.DataFrame({"u": c[ok], "v": c[root[ok]]})
 
-    return cells.join(sets, "c").groupBy("x", "y", "z").applyInPandas(run, "u long, v long")
+    return cells.join(texts, "hash").groupBy("x", "y", "z").applyInPandas(run, "u long, v long")
 
 
-def links(families: DataFrame, sets: DataFrame, similar: Similarity) -> DataFrame:
-    """node, root of the classes that links connect. ``families``: c, n, family."""
+def links(families: DataFrame, docs: DataFrame, similar: Similarity) -> DataFrame:
+    """node, root of the classes that links connect. ``families``: c, n, family, hash (of one text). ``docs``: hash, text."""
     spark = families.sparkSession
     weight = families.groupBy("family").agg(F.sum("n").alias("w"))
     blocks = F.ceil(F.col("w") / BLOCK).cast("int")
     dealt = written(families.join(weight, "family").withColumn("b", blocks).withColumn("i", F.pmod(F.xxhash64("c"), F.col("b")).cast("int")).drop("w"), "dealt")
     none = F.lit(-1)
-    one = dealt.select(F.col("family").alias("x"), F.col("i").alias("y"), none.alias("z"), "c", F.col("c").alias("known"))
-    found = written(_joined(one, sets, similar), "links")
+    one = dealt.select(F.col("family").alias("x"), F.col("i").alias("y"), none.alias("z"), "c", "hash", F.col("c").alias("known"))
+    found = written(_joined(one, texts_of(docs, families), similar), "links")
     large = written(dealt.where("b > 1"), "large-families")
     if large.isEmpty():
         return components(found)
+    texts = texts_of(docs, large)
     for step in ("representatives", "rest"):
         swept(spark)
         roots = components(found)
@@ -351,10 +351,10 @@ def links(families: DataFrame, sets: DataFrame, similar: Similarity) -> DataFram
             cells = now.where("c = known")
             # As many cells as hold a block each; what they leave apart the next step sees.
             part = cells.groupBy("family").agg(F.sum("n").alias("w")).withColumn("p", F.ceil(F.col("w") / BLOCK).cast("int"))
-            cells = cells.join(part, "family").select(F.col("family").alias("x"), F.pmod(F.xxhash64("c", F.lit(1)), F.col("p")).cast("int").alias("y"), none.alias("z"), "c", "known")
+            cells = cells.join(part, "family").select(F.col("family").alias("x"), F.pmod(F.xxhash64("c", F.lit(1)), F.col("p")).cast("int").alias("y"), none.alias("z"), "c", "hash", "known")
         else:
             cells = crossed(now)
-        found = found.unionByName(written(_joined(cells, sets, similar), step))
+        found = found.unionByName(written(_joined(cells, texts, similar), step))
     return components(found)
 
 
@@ -366,9 +366,9 @@ def crossed(now: DataFrame) -> DataFrame:
     part = part.withColumn("block", F.least(F.lit(float(MAX_BLOCK)), F.greatest(F.lit(float(BLOCK)), F.col("all") * CROSS_SHARE)))
     part = written(part.select("family", F.ceil(F.col("w") / F.col("block")).cast("int").alias("r"), F.ceil(F.col("all") / F.col("block")).cast("int").alias("s")), "cross-blocks")
     deal = lambda to, seed: F.pmod(F.xxhash64("c", F.lit(seed)), F.col(to)).cast("int")
-    ours = rest.join(part, "family").select("family", "s", "c", "known", deal("r", 2).alias("y")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    theirs = now.join(part, "family").select("family", "c", "known", deal("s", 3).alias("z"), F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("y"))
-    return ours.select(F.col("family").alias("x"), "y", "z", "c", "known").unionByName(theirs.select(F.col("family").alias("x"), "y", "z", "c", "known"))
+    ours = rest.join(part, "family").select("family", "s", "c", "hash", "known", deal("r", 2).alias("y")).withColumn("z", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    theirs = now.join(part, "family").select("family", "c", "hash", "known", deal("s", 3).alias("z"), F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("y"))
+    return ours.select(F.col("family").alias("x"), "y", "z", "c", "hash", "known").unionByName(theirs.select(F.col("family").alias("x"), "y", "z", "c", "hash", "known"))
 
 
 def join(docs: DataFrame, similar: Similarity = Similarity(), key: str = "doc_id", text: str = "text", mark: Column | None = None) -> DataFrame:
@@ -390,9 +390,7 @@ def join(docs: DataFrame, similar: Similarity = Similarity(), key: str = "doc_id
         families = families.select(F.col("node").alias("c"), F.col("root").alias("family")).unionByName(families.select(F.col("root").alias("c"), F.col("root").alias("family")).distinct())
         families = written(families.join(first.select("c", "n", "hash"), "c"), "families")
         swept(spark)
-        sets = written(sets_of(docs, families).dropDuplicates(["c"]), "sets")
-        swept(spark)
-        roots = links(families.drop("hash"), sets, similar)
+        roots = links(families, docs, similar)
         linked = first.join(roots, first["c"] == roots["node"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
         linked = written(linked, "linked")
         least = linked.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -70,6 +70,23 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert got == [(-1, 2, 3), (3, 2, 3), (3, 2, 3), (5, 0, 5), (7, 0, 7), (9, 2, 3)]
 
 
+def test_no_set_is_written_or_travels(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    kept, kinds = ngram_join.written, set()
+
+    def noted(df, *args, **more):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        kinds.update(t for _, t in df.dtypes)
+        assert "members" not in plan
+        return kept(df, *args, **more)
+
+    monkeypatch.setattr(ngram_join, "written", noted)
+    rows = texts(7, families=4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in ngram_join.join(df).select("doc_id", "n_shingles", "component_id").collect()} == brute(rows)
+    assert "binary" not in kinds
+
+
 def test_empty_table(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
