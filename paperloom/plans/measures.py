@@ -340,8 +340,8 @@ def validate_gene(spark, d):
 
 @query("validate_disease")
 def validate_disease(spark, d):
-    r = _rels(spark, d).select("l_orderkey", "l_linenumber", "kb_id", "ph").join(knowledge(spark, d).select("kb_id", "phenotypes"), "kb_id")
-    return K.similar_phenotypes(r, "phenotypes", "ph")
+    r = _rels(spark, d).select("l_orderkey", "l_linenumber", "kb_id", "ph").distinct()
+    return K.similar_phenotypes(r, knowledge(spark, d).select("kb_id", "phenotypes"), "kb_id", "ph")
 
 
 @query("region_enrich", f"""WITH {KB_FLAT}, g AS (SELECT DISTINCT l_orderkey * 100 + l_linenumber region_id, CAST(l_suppkey % 22 + 1 AS VARCHAR) chr, l_partkey * 10 "start", l_partkey * 10 + CAST(l_quantity AS BIGINT) "end" FROM lineitem)

@@ -1,6 +1,7 @@
 """Readers, sinks and record operators on small files and frames."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,21 @@ def test_nearest_in_blocks_equals_one_block(spark, monkeypatch):
         monkeypatch.setattr(vectors, "MAX_QUERIES", 2)
         assert sorted(map(tuple, vectors.nearest(v, q, 4, metric).collect())) == one
         monkeypatch.setattr(vectors, "MAX_QUERIES", 10_000)
+
+
+def test_similar_names_travel_with_no_list(spark):
+    kb = spark.createDataFrame(
+        [(1, [("7", "GENE")], [("1", "lung cancer")]), (2, [("8", None)], [("2", "Heart"), ("3", None)]), (3, [], [])],
+        "kb_id long, genes array<struct<id:string,symbol:string>>, phenotypes array<struct<id:string,name:string>>",
+    )
+    rows = [(1, "", "gene", "", "Cancer lung"), (1, None, None, None, None), (2, "8", "x", "9", "heart"), (2, "", "x", "", "hearts"), (3, "7", "gene", "1", "heart"), (4, "7", "gene", "1", "heart"), (None, "7", "gene", "1", "heart"), (2, "", "x", "3", "")]
+    rels = spark.createDataFrame(rows, "kb_id long, gene_id string, gene string, ph_id string, ph string")
+    got = knowledge.validated(rels, kb)
+    assert not re.search(r"Join .*\(ph#\d+ = _n#", got._jdf.queryExecution().optimizedPlan().toString())
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("_ratio(")[-1]
+    assert "Aggregate [_n" in below  # names are made distinct before they are compared
+    want = ["gene and disease confirmed", "nothing confirmed", "gene and disease confirmed", "disease confirmed", "nothing confirmed", "variant not found", "no variant given", "disease confirmed"]
+    assert {tuple(r)[:6] for r in got.collect()} == {(*r, w) for r, w in zip(rows, want)}
+    found = knowledge.similar_phenotypes(rels.select("kb_id", "ph"), kb.select("kb_id", "phenotypes"), "kb_id", "ph").collect()
+    assert {tuple(r) for r in found} == {(1, "Cancer lung", True), (1, None, False), (2, "heart", True), (2, "hearts", True), (2, "", False), (3, "heart", False)}
+    assert len(found) == 6
