@@ -145,3 +145,14 @@ def test_similar_names_travel_with_no_list(spark):
     found = knowledge.similar_phenotypes(rels.select("kb_id", "ph"), kb.select("kb_id", "phenotypes"), "kb_id", "ph").collect()
     assert {tuple(r) for r in found} == {(1, "Cancer lung", True), (1, None, False), (2, "heart", True), (2, "hearts", True), (2, "", False), (3, "heart", False)}
     assert len(found) == 6
+
+
+@pytest.mark.parametrize("name", ["xml_article", "xml_variant_details", "xml_full_text"])
+def test_one_row_group_is_dealt_to_many_tasks(spark, tmp_path, name):
+    from paperloom.plans import QUERIES
+
+    part = spark.range(400).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "'SMALL' AS p_type", "'Brand#1' AS p_brand", "cast(id % 50 AS int) AS p_size")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES[name](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got.count() == 400
