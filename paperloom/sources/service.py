@@ -36,6 +36,10 @@ SCHEMA = "pmid string, passage_idx int, ann_id string, label string, type string
 _ARROW = pa.schema([("pmid", pa.string()), ("passage_idx", pa.int32()), ("ann_id", pa.string()), ("label", pa.string()), ("type", pa.string()), ("identifier", pa.string()), ("pos", pa.int32())])
 
 
+#: Documents in a bucket of an export, about.
+A_BUCKET = 4_000
+
+
 class Transport(Protocol):
     def fetch(self, ids: Sequence[str], types: frozenset[str] | None) -> list[dict]:
         """Documents of the ids that it knows, with annotations of the types only (all if None)."""
@@ -86,6 +90,11 @@ def _bucket(buckets: int):
     return F.pmod(F.crc32(F.col("pmid").cast("string").cast("binary")), F.lit(buckets)).cast("int")
 
 
+def buckets_for(documents: int) -> int:
+    """So many buckets that each has about ``A_BUCKET`` documents; a reader holds one bucket at a time, whatever the store's size."""
+    return max(64, -(-documents // A_BUCKET))
+
+
 def export(docs: DataFrame, store: str, buckets: int = 64) -> None:
     """Documents (pmid, and the whole document as JSON in ``value``) by bucket of the id, for ``Exported``."""
     docs.select(_bucket(buckets).alias("bucket"), "value").repartition("bucket").write.partitionBy("bucket").text(store)

@@ -100,3 +100,10 @@ def test_exported_documents(spark, tmp_path):
     service.export(spark.createDataFrame(docs, "pmid string, value string"), store, 8)
     got = spark.read.format("publications").options(store=store, buckets="8", ids="3,39,40").load().collect()
     assert sorted(map(tuple, got)) == [("3", 0, "a3", "ü\nx", "Gene", "7", None), ("39", 0, "a39", "ü\nx", "Gene", "7", None)]
+
+
+def test_a_bucket_does_not_grow_with_the_store(monkeypatch):
+    from paperloom.sources import service
+
+    assert [service.buckets_for(n) for n in (0, 1_000, 256_001)] == [64, 64, 65]
+    assert all(n / service.buckets_for(n) <= service.A_BUCKET for n in (10**5, 10**6, 54 * 10**6))
