@@ -347,7 +347,7 @@ def validate_disease(spark, d):
 @query("region_enrich", f"""WITH {KB_FLAT}, g AS (SELECT DISTINCT l_orderkey * 100 + l_linenumber region_id, CAST(l_suppkey % 22 + 1 AS VARCHAR) chr, l_partkey * 10 "start", l_partkey * 10 + CAST(l_quantity AS BIGINT) "end" FROM lineitem)
   SELECT DISTINCT region_id, kb_id FROM g JOIN kb ON g.chr = kb.chr AND kb."start" <= g."end" AND kb.stop >= g."start" """)
 def region_enrich(spark, d):
-    g = table(spark, d, "lineitem").selectExpr("l_orderkey * 100 + l_linenumber region_id", "CAST(l_suppkey % 22 + 1 AS STRING) chr", "l_partkey * 10 start", "l_partkey * 10 + CAST(l_quantity AS BIGINT) end").distinct()
+    g = table(spark, d, "lineitem").selectExpr("l_orderkey * 100 + l_linenumber region_id", "CAST(l_suppkey % 22 + 1 AS STRING) chr", "l_partkey * 10 start", "l_partkey * 10 + CAST(l_quantity AS BIGINT) end")
     return K.overlaps(g, knowledge(spark, d)).distinct()
 
 

@@ -54,3 +54,10 @@ def test_equal_and_near_vectors_go_by_id(spark, monkeypatch, metric, cells):
         s = -np.linalg.norm(all_ - x, axis=1) if metric == "l2" else norm(x) @ norm(all_).T
         assert [got[i][j] for j in range(1, 6)] == sorted(range(len(rows)), key=lambda j: (-round(s[j], 6), j))[:5]
     assert list(got[0].values()) == [0, 1, 2, 3, 4] or metric == "cosine"
+
+
+def test_regions_are_made_distinct_once(spark):
+    from paperloom.plans import QUERIES
+
+    plan = QUERIES["region_enrich"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [region_id") == 1
