@@ -49,6 +49,16 @@ def _distances(q: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _best(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's ``k`` highest scores, ties by name; only scores that reach the k-th one are sorted."""
+    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    row, at = np.nonzero(scores >= kth[:, None])
+    order = np.lexsort((names[at], -scores[row, at], row))
+    row, at = row[order], at[order]
+    first = np.searchsorted(row, np.arange(len(scores)))
+    return at[first[:, None] + np.arange(k)]
+
+
 def _block(vectors: DataFrame, rows: list, k: int, metric: str) -> DataFrame:
     ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
@@ -67,7 +77,7 @@ def _block(vectors: DataFrame, rows: list, k: int, metric: str) -> DataFrame:
             for i in range(0, len(q), step):
                 s = unit(q[i : i + step]) @ unit(v).T if metric == "cosine" else _distances(q[i : i + step], v, k)
                 s = np.round(s, 6)
-                best = np.lexsort((np.broadcast_to(names, s.shape), -s), axis=1)[:, : min(k, len(v))]
+                best = _best(s, names, min(k, len(v)))
                 yield pd.DataFrame({"query_id": np.repeat(q_ids[i : i + step], best.shape[1]), "vec_id": names[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
 
     return vectors.select("vec_id", "embedding").mapInPandas(score, "query_id long, vec_id long, score double")

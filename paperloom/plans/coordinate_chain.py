@@ -72,10 +72,20 @@ def contexts(found: DataFrame, make: Callable[[], Model] = RuleModel, cache: str
     return asked(found, _prompt(CONTEXT, PUBLICATION="text", COORDINATE="coordinate"), make, cache).withColumnRenamed("answer", "context")
 
 
+def lowest(terms: DataFrame, near: int) -> DataFrame:
+    """vec_id, id, text of the ``near`` lowest numbers of each text; a null text is as the empty one. Tasks keep no more than these of a text before they meet."""
+    known = terms.select(F.xxhash64("id").alias("vec_id"), "id", "text")
+    order = F.row_number().over(Window.partitionBy(F.coalesce("text", F.lit(""))).orderBy("vec_id", "id"))
+    return known.withColumn("_n", order).where(F.col("_n") <= near).drop("_n")
+
+
 def termed(found: DataFrame, terms: DataFrame, make: Callable[[], Model] = RuleModel, embed: Callable[[], Embedder] = HashEmbedder, near: int = 5, cache: str | None = None) -> DataFrame:
-    """Adds ``term``, the model's choice among the ``near`` terms (id, text) nearest to the context, as JSON."""
+    """Adds ``term``, the model's choice among the ``near`` terms (id, text) nearest to the context, as JSON.
+
+    Terms of equal text are equally near, and ties go to the lower number; so of each text only the ``near`` lowest can be among the nearest, and
+    no others are embedded and compared, however many share it."""
     texts = found.select(F.col("context").alias("text")).distinct().withColumn("query_id", F.xxhash64("text"))
-    known = terms.select(F.xxhash64("id").alias("vec_id"), "id", "text")
+    known = _kept(lowest(terms, near), "chain-known")
     hits = vectors.nearest(embedded(known.select("vec_id", "text"), embed), embedded(texts, embed).select("query_id", "embedding"), near)
     named = hits.join(known.select("vec_id", F.to_json(F.struct("id", "text")).alias("json")), "vec_id")
     lists = named.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "json"))), lambda x: x["json"]), "\x1f").alias("_terms"))

@@ -66,3 +66,36 @@ def test_pieces_of_tables(spark):
     assert splitter.pieces(df.limit(0), 4).count() == 0
     with pytest.raises(ValueError):
         splitter.pieces(df, 4, 4)
+
+
+def test_of_terms_of_equal_text_only_the_lowest_are_compared(spark, monkeypatch):
+    """The nearest of many terms that share few texts are those of a plain ranking of all of them."""
+    rnd = random.Random(6)
+    rows = [(f"T{i}", rnd.choice(["lung", "heart of", "gene A1", "lung heart", "", None])) for i in range(400)]
+    terms = spark.createDataFrame(rows, "id string, text string")
+    known = C.lowest(terms, 3)
+    assert known.count() <= 5 * 3  # no text and the empty one are the same
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["lung", "heart", "A1 gene lung", "nothing", ""])], "query_id long, text string")
+    queries = C.embedded(texts).select("query_id", "embedding")
+    near = lambda t: sorted(map(tuple, C.vectors.nearest(C.embedded(t.select("vec_id", "text")), queries, 3).select("query_id", "vec_id", "rank").collect()))
+    assert near(known) == near(terms.select(F.xxhash64("id").alias("vec_id"), "text"))
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counts(C.HashEmbedder):
+        def embed(self, some):
+            seen.add(len(some))
+            return super().embed(some)
+
+    found = spark.createDataFrame([("c.1A>G", "the lung is here")], "coordinate string, context string")
+    assert C.termed(found, terms, embed=Counts, near=2).count() == 1 and seen.value <= 2 * (5 * 2 + 1)
+
+
+def test_best_places_equal_a_full_sort():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    for n, k in ((1, 1), (7, 3), (50, 5), (5, 5)):
+        scores, names = rnd.integers(0, 4, (9, n)) / 4, rnd.permutation(n) - 3
+        scores[0] = -np.inf
+        want = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
+        assert (C.vectors._best(scores, names, k) == want).all()
