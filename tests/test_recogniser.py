@@ -2,6 +2,8 @@
 
 import random
 
+import ahocorasick
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,15 @@ def test_spans_equal_plain_search(spark, most):
     assert recogniser.recognised(df.limit(0), spark.createDataFrame(names, "name string, kind string"), most).count() == 0
     none = recogniser.recognised(df, spark.createDataFrame([], "name string, kind string"), most)
     assert none.count() == len(rows) and none.where("size(spans) > 0").count() == 0
+
+
+def test_few_texts_at_a_time_are_turned_into_strings():
+    machine = ahocorasick.Automaton()
+    machine.add_word("lung", (4, "part"))
+    machine.make_automaton()
+    part = pa.RecordBatch.from_pydict({"id": list(range(200)), "text": [f"lung {i}" if i % 2 else None for i in range(200)]})
+    got = list(recogniser._scanned(part, 1, machine))
+    assert len(got) > 2 and all(b.num_rows <= recogniser.AT_A_TIME for b in got)
+    assert {b.column(1).buffers()[2].address for b in got} == {part.column(1).buffers()[2].address}  # not copied
+    whole = pa.Table.from_batches(got).to_pydict()
+    assert whole["id"] == list(range(200)) and [len(s) for s in whole["spans"]] == [i % 2 for i in range(200)]
