@@ -70,3 +70,13 @@ def test_whole_files_and_empty_folders(spark, tmp_path):
     ingest.ingest(spark, str(source), store, f"file://{tmp_path}/c", whole_files=True)
     assert rows(spark, store, "annotations", "pmid", "pos") == [("3", 0), ("3", 1), ("3", 2)]
     assert rows(spark, store, "rejected", "file", "reason") == [("b.json", "no record")]
+
+
+def test_exports_of_the_query_are_compressed(spark, tmp_path, monkeypatch):
+    from paperloom.plans import records
+
+    monkeypatch.setattr(records.folders, "fresh", lambda spark, label: f"file://{tmp_path}/{label}")
+    got = records.stream_annotations(spark, "/root/testdata/sf0.001")
+    files = list((tmp_path / "ingest/source").glob("part-*"))
+    assert files and all(f.suffix == ".gz" for f in files)
+    assert {r["state"] for r in got.select("state").distinct().collect()} >= {"stored"}
