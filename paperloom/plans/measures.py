@@ -340,8 +340,9 @@ def validate_gene(spark, d):
 
 @query("validate_disease")
 def validate_disease(spark, d):
-    r = _rels(spark, d).select("l_orderkey", "l_linenumber", "kb_id", "ph").distinct()
-    return K.similar_phenotypes(r, knowledge(spark, d).select("kb_id", "phenotypes"), "kb_id", "ph")
+    """Every relationship of a known variant; a disease is confirmed by its id or a similar name."""
+    r = _rels(spark, d).select("l_orderkey", "l_linenumber", "kb_id", "ph_id", "ph")
+    return K.similar_phenotypes(r, knowledge(spark, d).select("kb_id", "phenotypes"), "kb_id", "ph", "ph_id")
 
 
 @query("region_enrich", f"""WITH {KB_FLAT}, g AS (SELECT DISTINCT l_orderkey * 100 + l_linenumber region_id, CAST(l_suppkey % 22 + 1 AS VARCHAR) chr, l_partkey * 10 "start", l_partkey * 10 + CAST(l_quantity AS BIGINT) "end" FROM lineitem)

@@ -2,6 +2,7 @@
 
 import json
 import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,26 @@ def test_similar_names_travel_with_no_list(spark):
     assert len(found) == 6
 
 
+def test_a_disease_is_confirmed_by_id_or_similar_name(spark):
+    from paperloom.plans import QUERIES
+
+    kb = spark.createDataFrame([(1, [("7", "lung cancer"), (None, "ab")]), (2, [("", "abcdecdea"), ("8", None)]), (3, None)], "kb_id long, phenotypes array<struct<id:string,name:string>>")
+    known, given = "abacbbca", "bbacbaba"  # matching blocks find fewer the other way round
+    assert SequenceMatcher(None, known, given).ratio() >= 0.7 > SequenceMatcher(None, given, known).ratio()
+    kb = kb.union(spark.createDataFrame([(4, [("9", known)])], kb.schema))
+    rows = [(1, "7", "gout"), (1, "8", "gout"), (1, "", "cancer lung"), (1, None, None), (2, "", "gout"), (2, "8", None), (3, "7", "gout"), (4, "", given), (5, "7", "lung cancer"), (1, "7", "gout")]
+    got = knowledge.similar_phenotypes(spark.createDataFrame(rows, "kb_id long, ph_id string, ph string"), kb, "kb_id", "ph", "ph_id")
+    want = [(False, True), (False, False), (True, True), (False, False), (False, False), (False, True), (False, False), (True, True), None, (False, True)]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(((*r, *w) for r, w in zip(rows, want) if w), key=key)
+
+    sf = "/root/testdata/sf0.01"
+    found = QUERIES["validate_disease"](spark, sf)
+    parts = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey kb_id")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_partkey + l_linenumber % 2 * 5 kb_id").join(parts, "kb_id").count()
+    assert found.count() == lines and {"ph_id", "confirmed"} <= set(found.columns)  # repeated relationships stay
+
+
 @pytest.mark.parametrize("name", ["xml_article", "xml_variant_details", "xml_full_text"])
 def test_one_row_group_is_dealt_to_many_tasks(spark, tmp_path, name):
     from paperloom.plans import QUERIES
