@@ -2,7 +2,8 @@
 
 A text's set is its distinct five-word shingles, as 64-bit hashes; texts with equal sets are one class. Links are exact:
 
-1. One scan finds every row's class and the shingles that many texts share.
+1. One scan finds every row's class and the shingles that many texts share. A batch tells of what it meets twice, and what several
+   batches tell of is shared: so chance repeats are found from about the root of twice the number of batches on, however large the corpus.
 2. A second scan posts each class under its rarest shingles: shared ones last, as many as leave no way to reach the
    similarity without them. Two classes that link have postings in common, and so many that with all that was not posted
    they could reach the overlap asked for; pairs from short posting lists are counted and held against that. In long
@@ -37,10 +38,11 @@ from paperloom.llm.components import components
 from paperloom.llm.signature_tree import Tree
 
 N = 5
-#: A shingle in so many texts of one batch of ``BATCH`` shingles is counted, and the most frequent of those count as shared.
-LOCAL_SHARED = 3
+#: A shingle in so many texts of one batch of ``BATCH`` shingles is told of. It is shared if more than one batch does, or if it is in more texts of one.
+LOCAL_SHARED = 2
 BATCH = 4_000_000
-MAX_SHARED = 200_000
+#: Bits of the map of shared shingles, a power of two; a shingle that only looks shared by it comes last as well, for all texts alike.
+SHARED_BITS = 1 << 27
 #: Members of a posting list up to which its pairs are counted.
 SHORT = 64
 #: Bits of the map that lets the texts of families through.
@@ -161,8 +163,30 @@ def profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind byte, a long, b long, n long, mark long, hash long")
 
 
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Words of 64 bits with those of the longs in the only column set; ``bits`` / 64 rows at most come to the driver."""
+    words = hashes.select(F.col(hashes.columns[0]).bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    words = words.select(F.shiftright("bit", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(bit & 63 AS int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    marks = np.zeros(bits // 64, dtype=np.int64)
+    got = words.toPandas()
+    marks[got["word"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64)
+    return marks
+
+
+def marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of the longs are set."""
+    bit = hashes & (len(marks) * 64 - 1)
+    return (marks[bit >> 6] >> (bit & 63) & 1).astype(bool)
+
+
+def shared_shingles(seen: DataFrame) -> DataFrame:
+    """h of the shingles that ``profile`` holds shared."""
+    told = seen.where("kind = 1").groupBy(F.col("a").alias("h")).agg(F.count("*").alias("batches"), F.max("n").alias("n"))
+    return told.where(f"batches > 1 OR n > {LOCAL_SHARED}").select("h")
+
+
 def postings(docs: DataFrame, shared: np.ndarray, similar: Similarity) -> DataFrame:
-    """h, n, c: each class under its rarest shingles. ``shared``: sorted hashes, which come last."""
+    """h, n, c: each class under its rarest shingles. ``shared``: a map of those that come last."""
     held = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(parts):
@@ -175,10 +199,8 @@ def postings(docs: DataFrame, shared: np.ndarray, similar: Similarity) -> DataFr
                     continue
                 seen.add(name)
                 k = similar.prefix(len(s))
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    common = last[at] == s
-                    s = np.concatenate([s[~common], s[common]])
+                common = marked(last, s.view(np.int64))
+                s = np.concatenate([s[~common], s[common]])
                 h.append(s[:k])
                 n.append(np.full(k, len(s), dtype=np.int32))
                 c.append(np.full(k, name, dtype=np.int64))
@@ -285,19 +307,13 @@ def _parts(df: DataFrame) -> int:
 def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """hash and text of the rows with the hashes given and few others; one row for each task that has the text. ``classes``: hash of
     one text of each. A text is shorter than its set and, unlike hashes, is compressed on its way."""
-    words = classes.select((F.col("hash").bitwiseAND(F.lit(MAP_BITS - 1))).alias("bit"))
-    words = words.select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 AS int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    marks = np.zeros(MAP_BITS // 64, dtype=np.int64)
-    got = words.toPandas()  # MAP_BITS / 64 rows at most
-    marks[got["word"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64)
-    held = docs.sparkSession.sparkContext.broadcast(marks)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(classes.select("hash"), MAP_BITS))
 
     def run(parts):
         seen: set[int] = set()
         for part in parts:
             hashes = part.column(0).to_numpy()
-            bit = hashes & (MAP_BITS - 1)
-            rows = np.flatnonzero(held.value[bit >> 6] >> (bit & 63) & 1)
+            rows = np.flatnonzero(marked(held.value, hashes))
             rows = [i for i, h in zip(rows.tolist(), hashes[rows].tolist(), strict=True) if not (h in seen or seen.add(h))]
             if rows:
                 yield part.take(pa.array(rows, pa.int64()))
@@ -381,9 +397,7 @@ def join(docs: DataFrame, similar: Similarity = Similarity(), key: str = "doc_id
     with scratch(spark):
         seen = written(profile(docs), "profile", lasting=True)
         rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), "n", "mark", "hash")
-        shared = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "a").limit(MAX_SHARED)
-        common = np.sort(shared.select("a").toPandas()["a"].to_numpy(dtype=np.int64).astype(np.uint64))
-        edges = written(connections(postings(docs, common, similar), similar), "connections")
+        edges = written(connections(postings(docs, bitmap(shared_shingles(seen), SHARED_BITS), similar), similar), "connections")
         swept(spark)
         first = written(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min("hash").alias("hash")), "classes")
         families = components(edges)

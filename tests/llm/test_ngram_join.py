@@ -87,6 +87,31 @@ def test_no_set_is_written_or_travels(spark, monkeypatch):
     assert "binary" not in kinds
 
 
+def test_what_few_texts_of_each_batch_share_by_chance_is_found(spark):
+    rnd = random.Random(3)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(5)) for i in range(115)]  # each in about 35 of 1,000 texts, and in 0.35 of a batch of 10
+    rows = []
+    for i in range(1000):
+        parts = [*rnd.sample(phrases, 4), *(f"u{i}x{j}" for j in range(20))]
+        rnd.shuffle(parts)
+        rows.append((i, " ".join(parts), None, i))
+    seen = ngram_join.profile(spark.createDataFrame(rows, "doc_id long, text string, mark long, hash long").repartition(100)).cache()
+    own = {int(s.astype(np.int64)[0]) for s in ngram_join.Shingler().sets(phrases)}
+    told = {r["a"] for r in seen.where("kind = 1").select("a").distinct().collect()}
+    assert len(own & told) > 0.9 * len(own)  # three texts of one batch share fewer than half of them
+    shared = {r["h"] for r in ngram_join.shared_shingles(seen).collect()}
+    assert len(own & shared) > 0.8 * len(own) and shared <= own
+
+
+def test_maps_hold_every_hash(spark):
+    rnd = random.Random(2)
+    own = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(300)] + [0, -1, 63, 64, (1 << 63) - 1]
+    marks = ngram_join.bitmap(spark.createDataFrame([(h,) for h in own], "h long").repartition(3), 1 << 16)
+    others = np.array([rnd.randrange(-(1 << 63), 1 << 63) for _ in range(10_000)])
+    assert len(marks) == 1024 and ngram_join.marked(marks, np.array(own)).all() and ngram_join.marked(marks, others).mean() < 0.02
+    assert not ngram_join.marked(ngram_join.bitmap(spark.createDataFrame([], "h long"), 1 << 16), others).any()
+
+
 def test_empty_table(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
