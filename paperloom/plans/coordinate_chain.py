@@ -86,7 +86,8 @@ def termed(found: DataFrame, terms: DataFrame, make: Callable[[], Model] = RuleM
     no others are embedded and compared, however many share it."""
     texts = found.select(F.col("context").alias("text")).distinct().withColumn("query_id", F.xxhash64("text"))
     known = _kept(lowest(terms, near), "chain-known")
-    hits = vectors.nearest(embedded(known.select("vec_id", "text"), embed), embedded(texts, embed).select("query_id", "embedding"), near)
+    queries = _kept(embedded(texts, embed).select("query_id", "embedding"), "chain-queries")  # counted and read: embedded once
+    hits = vectors.nearest(embedded(known.select("vec_id", "text"), embed), queries, near)
     named = hits.join(known.select("vec_id", F.to_json(F.struct("id", "text")).alias("json")), "vec_id")
     lists = named.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "json"))), lambda x: x["json"]), "\x1f").alias("_terms"))
     rows = found.withColumn("query_id", F.xxhash64("context")).join(lists, "query_id", "left").drop("query_id")

@@ -61,3 +61,35 @@ def test_regions_are_made_distinct_once(spark):
 
     plan = QUERIES["region_enrich"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [region_id") == 1
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_many_queries_pass_few_vectors_once(spark, monkeypatch, metric):
+    rng = np.random.default_rng(7)
+    near = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(30)] + [(30, [0.0] * 4)]  # many ties
+    v = spark.createDataFrame(random.Random(3).sample(near, len(near)), "vec_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(100 + i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(90)], "query_id long, embedding array<double>").repartition(4)
+    for k in (4, 40):
+        want = vectors.nearest(v, q, k, metric)
+        monkeypatch.setattr(vectors, "MAX_QUERIES", 31)
+        got = vectors.nearest(v, q, k, metric)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan and "Window" not in plan  # not a branch for each block of queries
+        assert got.dtypes == [(c, t) for c, t in want.dtypes] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert vectors.nearest(v.limit(0), q, k, metric).count() == 0
+        monkeypatch.setattr(vectors, "MAX_QUERIES", 10_000)
+
+
+def test_contexts_are_embedded_once(spark, tmp_path):
+    from paperloom.plans import coordinate_chain
+
+    class Counting(coordinate_chain.HashEmbedder):
+        def embed(self, texts):
+            with open(f"{tmp_path}/asked", "a") as f:
+                f.writelines("asked\n" for t in texts if t.startswith("about"))
+            return super().embed(texts)
+
+    found = spark.createDataFrame([(i, f"c.{i}A>G", f"about c.{i}A>G") for i in range(40)], "test_id long, coordinate string, context string")
+    terms = spark.createDataFrame([("a", "lung"), ("b", "heart")], "id string, text string")
+    assert coordinate_chain.termed(found, terms, embed=Counting).where("term IS NOT NULL").count() == 40
+    assert len(open(f"{tmp_path}/asked").readlines()) == 40
