@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: Code points of pieces that a task gives back at a time.
+TOGETHER = 4_000_000
 
 
 def _cut(text: str, separator: str) -> list[str]:
@@ -69,10 +71,22 @@ def pieces(df: DataFrame, size: int, overlap: int = 0, text: str = "text", lengt
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at, whole in enumerate(pdf[text]):
-                if whole and (own := split(whole, size, overlap, SEPARATORS, length)):
-                    rows = pdf[names].iloc[[at] * len(own)].reset_index(drop=True)
-                    yield rows.assign(piece=range(len(own)), **{text: own})
+            others, at, nth, found, held = pdf[names], [], [], [], 0
+
+            def rows():
+                return others.iloc[at].reset_index(drop=True).assign(piece=nth, **{text: found})
+
+            for i, whole in enumerate(pdf[text]):
+                own = split(whole, size, overlap, SEPARATORS, length) if whole else []
+                at += [i] * len(own)
+                nth += range(len(own))
+                found += own
+                held += sum(map(len, own))
+                if held > TOGETHER:
+                    yield rows()
+                    at, nth, found, held = [], [], [], 0
+            if found:
+                yield rows()
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "piece int", f"`{text}` string"])
     return df.select(*names, text).mapInPandas(run, ddl)

@@ -99,3 +99,22 @@ def test_best_places_equal_a_full_sort():
         scores[0] = -np.inf
         want = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
         assert (C.vectors._best(scores, names, k) == want).all()
+
+
+def test_pieces_of_many_texts_come_together(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else "ab cd" * (i % 5)) for i in range(200)], "id long, text string").coalesce(1)
+    want = [(i, n, p) for i, t in df.collect() if t for n, p in enumerate(splitter.split(t, 4, 1))]
+    got = splitter.pieces(df, 4, 1)
+    assert [tuple(r) for r in got.select("id", "piece", "text").collect()] == want
+
+    class Table:
+        schema, select = df.schema, lambda self, *c: self
+
+        def mapInPandas(self, run, ddl):
+            return run([df.toPandas()])
+
+    for most, least in ((4_000_000, 1), (100, 5)):
+        monkeypatch.setattr(splitter, "TOGETHER", most)
+        frames = list(splitter.pieces(Table(), 4, 1))
+        assert [tuple(r) for f in frames for r in f[["id", "piece", "text"]].itertuples(index=False)] == want
+        assert least <= len(frames) < 30  # one for each text was 137
